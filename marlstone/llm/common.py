@@ -100,6 +100,7 @@ class WordHasher:
         values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         lower = np.arange(256)
         lower[ord("A") : ord("Z") + 1] += 32
+        self.lower = lower.astype(np.uint8)
         self.values = values[lower]
         self.word = np.ones(256, bool)
         self.word[list(separators)] = False
@@ -117,7 +118,11 @@ class WordHasher:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and for each text the index of its first word, with the end of the last."""
-        buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        return self.parts(texts)[:2]
+
+    def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, with the bytes of all texts and the ends of their words in them."""
+        buffer = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
         self._grow(len(buffer) + 1)
         isword = self.word[buffer]
         change = np.flatnonzero(np.diff(isword.view(np.int8), prepend=np.int8(0)))
@@ -125,5 +130,5 @@ class WordHasher:
         sums = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(self.values[buffer] * self.powers[: len(buffer)], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * self.inverse[starts])
-        text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        return hashes, np.searchsorted(starts, text_starts)
+        text_starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        return hashes, np.searchsorted(starts, text_starts), buffer, ends
