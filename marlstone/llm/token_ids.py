@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -13,8 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, table, written
-from .token_counts import CHUNKS, _Remembered
+from .common import WordHasher, mixed, shared_folder, slices, table, written
 
 MAGIC, BLOCK, HEAD, PERCENTILE = b"PFR1", 256, 7, 90
 
@@ -85,29 +87,120 @@ def decode_ids(data: bytes, first_block: int = 0, n_blocks: int | None = None) -
     return values.reshape(-1)[: n - first_block * BLOCK]
 
 
+class ChunkHasher:
+    """Cuts UTF-8 texts where the tokenizer's pieces always part, and hashes each chunk to 64 bits.
+
+    Cuts lie before a space or line feed that a visible character follows, and between a Latin letter and an ASCII mark. Where the next character may be rarer white space there is none, which makes a longer chunk only.
+    """
+
+    def __init__(self):
+        hasher = WordHasher(b"")
+        rng = np.random.default_rng(99)
+        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.hasher = hasher
+        byte = np.arange(256)
+        self.visible = (byte > 32) & (byte != 127) & ~np.isin(byte, [0xC2, 0xE1, 0xE2, 0xE3])
+        self.letter = ((byte >= 65) & (byte <= 90)) | ((byte >= 97) & (byte <= 122))
+        self.mark = ((byte > 32) & (byte < 127)) & ~self.letter & ~((byte >= 48) & (byte <= 57))
+        self.latin = (byte >= 0x80) & (byte <= 0xBF) & (byte != 0x97) & (byte != 0xB7)  # after 0xC3
+
+    def __call__(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all bytes, starts and ends of the chunks, their hashes, and for each text the index of its first, with the end)."""
+        joined = b"\0".join([b"", *texts, b""])
+        buffer = np.frombuffer(joined, np.uint8)
+        cut = np.zeros(len(buffer), bool)
+        cut[1:-1] = ((buffer[1:-1] == 32) | (buffer[1:-1] == 10)) & self.visible[buffer[2:]]
+        cut[2:] |= self.mark[buffer[2:]] & (self.letter[buffer[1:-1]] | ((buffer[:-2] == 0xC3) & self.latin[buffer[1:-1]]))
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = 1 + np.cumsum(lengths + 1) - lengths - 1
+        cut[begins[lengths > 0]] = True
+        starts = np.flatnonzero(cut)
+        first = np.searchsorted(starts, np.append(begins, len(buffer)))
+        ends = np.append(starts[1:], 0)
+        last = first[1:][lengths > 0] - 1
+        ends[last] = (begins + lengths)[lengths > 0]
+        self.hasher._grow(len(buffer) + 1)
+        sums = np.zeros(len(buffer) + 1, np.uint64)
+        np.cumsum(self.values[buffer] * self.hasher.powers[: len(buffer)], out=sums[1:])
+        return joined, starts, ends, mixed((sums[ends] - sums[starts]) * self.hasher.inverse[starts]), first
+
+
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for each chunk between white space while that is remembered."""
+    """Ids of whole texts by the tokenizers library, which is asked once for each chunk that isn't remembered.
+
+    Chunks are known by their 64-bit hashes. Texts with special strings are encoded as they are.
+    """
 
-    REMEMBERED = 200_000
+    CHUNKS, RECENT = 2_000_000, 150_000  # remembered, and of these kept apart until they are merged into the sorted rest
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(vocabulary).encode_batch_fast
-        self.chunks = regex.compile(CHUNKS).findall
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian u32."""
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        split = [self.chunks(t) for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        for chunk, found in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
+        tokenizer = Tokenizer.from_str(vocabulary)
+        self.encode = functools.partial(tokenizer.encode_batch_fast, add_special_tokens=False)
+        self.specials = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.hasher = ChunkHasher()
+        self.forget()
+
+    def forget(self) -> None:
+        nothing = np.zeros(0, np.int64)
+        self.known = self.recent = (nothing.view(np.uint64), nothing, nothing)  # ascending hashes; place and number of their ids
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _find(self, where: tuple, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(where[0], hashes), max(0, len(where[0]) - 1))
+        return np.where(where[0][at] == hashes, at, -1) if len(where[0]) else np.full(len(hashes), -1)
+
+    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
+        found = [array("I", e.ids) for e in self.encode(chunks)]
+        counts = np.array([len(f) for f in found], np.int64)
+        flat = np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(flat)] = flat
+        places = self.used + np.cumsum(counts) - counts
+        self.used += len(flat)
+        self.recent = self._merged(self.recent, (hashes, places, counts))
+        if len(self.recent[0]) > self.RECENT:
+            self.known, self.recent = self._merged(self.known, self.recent), tuple(x[:0] for x in self.recent)
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(hashes := np.concatenate([a[0], b[0]]))
+        return hashes[order], *(np.concatenate(x)[order] for x in zip(a[1:], b[1:], strict=True))
+
+    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
+        """For each text its ids."""
+        if len(self.known[0]) > self.CHUNKS:
+            self.forget()
+        special = [any(s in t for s in self.specials) for t in texts]
+        joined, starts, ends, hashes, first = self.hasher([b"" if s else t for t, s in zip(texts, special, strict=True)])
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        new = np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])
+        distinct, example = ordered[new], order[new]
+        missing = np.flatnonzero((self._find(self.known, distinct) < 0) & (self._find(self.recent, distinct) < 0))
+        if len(missing):
+            some = example[missing]
+            self._learn(distinct[missing], [joined[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+        at, near = self._find(self.known, distinct), self._find(self.recent, distinct)
+        place, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        for where, found in ((self.known, at), (self.recent, near)):
+            place[found >= 0], count[found >= 0] = where[1][found[found >= 0]], where[2][found[found >= 0]]
+        which = np.empty(len(hashes), np.int64)
+        which[order] = np.cumsum(new) - 1
+        counts = count[which]
+        stops = np.cumsum(counts)
+        ids = self.ids[np.repeat(place[which] - stops + counts, counts) + np.arange(stops[-1] if len(stops) else 0)]
+        bounds = np.concatenate([[0], stops])[first]
+        return [np.array(self.encode([t.decode()])[0].ids, np.uint32) if s else ids[a:b] for t, s, (a, b) in zip(texts, special, pairwise(bounds.tolist()), strict=True)]
+
+
+@functools.lru_cache(1)
+def _encoder(vocabulary: str) -> ChunkEncoder:
+    """One for each Python worker, so that what it remembers serves its later tasks."""
+    return ChunkEncoder(vocabulary)
 
 
 def write_ids(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int = 0, segment_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,28 +211,28 @@ def write_ids(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int =
     Files are committed by Spark's writer, so a lost executor's part is written again and never twice.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text("utf-8"))
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, number, start = ChunkEncoder(vocabulary.value), TaskContext.get().partitionId(), 0, 0
-        ids: list[bytes] = []
+        encoder, shard, number, start = _encoder(vocabulary.value), TaskContext.get().partitionId(), 0, 0
+        ids: list[np.ndarray] = []
         names: list[int | None] = []
 
         def flushed():
             nonlocal number, start
-            joined = np.frombuffer(b"".join(ids), "<u4")
-            row = {"shard": shard, "segment": number, "start": start, "doc_ids": names[:], "doc_tokens": [len(x) // 4 for x in ids], "payload": encode_ids(joined)}
+            joined = np.concatenate([x for own in ids for x in (own, end)])
+            row = {"shard": shard, "segment": number, "start": start, "doc_ids": names[:], "doc_tokens": [len(x) + 1 for x in ids], "payload": encode_ids(joined)}
             number, start = number + 1, start + len(joined)
             ids.clear()
             names.clear()
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         held = 0
-        for part, texts in slices(batches, text_col, 1 << 20):
-            for name, found in zip(part.column(id_col).to_pylist(), encoder([t.decode() for t in texts]), strict=True):
-                ids.append(found + end)
+        for part, texts in slices(batches, text_col, 4 << 20):
+            for name, found in zip(part.column(id_col).to_pylist(), encoder(texts), strict=True):
+                ids.append(found)
                 names.append(name)
-                held += len(ids[-1]) // 4
+                held += len(found) + 1
                 if held >= segment_tokens:
                     yield flushed()
                     held = 0
