@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -17,14 +19,36 @@ from .common import slices, table
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: A run of white space and the characters up to the next one. No piece crosses its borders, so its count depends on nothing else.
-CHUNKS = rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+CHUNKS = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+#: The same, but Latin letters are cut off from ASCII punctuation after them: no piece has a letter before a mark, and fewer different chunks remain.
+FINE_CHUNKS = re.compile(rf"[{SPACE}]*[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[!-/:-@\[-`{{-~{SPACE}]|\Z)|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+
+
+def chunks_of(text: str, special: tuple[str, ...]) -> list[str]:
+    """Parts of the text that are tokenised independently; special strings stay whole."""
+    return (CHUNKS if any(s in text for s in special) else FINE_CHUNKS)(text)
+
+
+class Remembered(dict):
+    """Values made once for each key, as long as they are remembered: when `most` new ones have come, those not used since the last time go. Results don't depend on it."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class MergeCounter:
     """Counts of a byte-level byte-pair vocabulary in the tokenizers library's JSON form."""
 
-    #: Chunks whose counts are remembered; the memory is emptied when full, which changes no result.
-    REMEMBERED = 200_000
+    CHUNKS, PIECES = 200_000, 200_000  # remembered
 
     def __init__(self, vocabulary: str):
         import regex
@@ -41,10 +65,10 @@ class MergeCounter:
         others = iter(range(256, 512))
         shown = {b: chr(b) for b in printable}
         self.symbols = [ids[shown.get(b) or chr(next(others))] for b in range(256)]
-        special = [regex.escape(t["content"]) for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(special)) if special else None
-        self.pieces, self.chunks = regex.compile(PIECES).findall, regex.compile(CHUNKS).findall
-        self.known: dict[str, int] = _Remembered(self.of_chunk)
+        self.specials = tuple(t["content"] for t in spec["added_tokens"])
+        self.special = re.compile("|".join(map(re.escape, self.specials))) if self.specials else None
+        self.split = regex.compile(PIECES).findall
+        self.pieces, self.chunks = Remembered(lambda p: self.merged(p.encode()), self.PIECES), Remembered(self.of_chunk, self.CHUNKS)
 
     def merged(self, piece: bytes) -> int:
         """Symbols left after all merges of one piece."""
@@ -76,22 +100,17 @@ class MergeCounter:
 
     def of_chunk(self, chunk: str) -> int:
         if self.special and (parts := self.special.split(chunk))[1:]:
-            return len(parts) - 1 + sum(self.merged(p.encode()) for part in parts for p in self.pieces(part))
-        return sum(self.merged(p.encode()) for p in self.pieces(chunk))
+            return len(parts) - 1 + sum(self.pieces[p] for part in parts for p in self.split(part))
+        return sum(map(self.pieces.__getitem__, self.split(chunk)))
 
     def count(self, text: str) -> int:
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        return sum(map(self.known.__getitem__, self.chunks(text)))
-
+        return sum(map(self.chunks.__getitem__, chunks_of(text, self.specials)))
 
-class _Remembered(dict):
-    def __init__(self, make):
-        self.make = make
 
-    def __missing__(self, key):
-        value = self[key] = self.make(key)
-        return value
+@functools.lru_cache(1)
+def _counter(vocabulary: str) -> MergeCounter:
+    """One for each Python worker, so that what it remembers serves its later tasks."""
+    return MergeCounter(vocabulary)
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str, *, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +122,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, *, limit: int = 512, id_
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text("utf-8"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(vocabulary.value)
+        counter = _counter(vocabulary.value)
         for part, texts in slices(batches, text_col, 4 << 20):
             n = [counter.count(t.decode()) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=[id_col, "n_bytes", "n_tokens", "over_limit"])
