@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+
 #: Bytes that separate words in most contracts: space and 0x09 to 0x0D.
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -62,6 +69,7 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches whose texts in column, as UTF-8 (null: empty), take about max_bytes; one long text is a part of its own."""
+    binary = batch = None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,6 +81,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
             yield batch.slice(start, stop - start), [x or b"" for x in binary.slice(start, stop - start).to_pylist()]
             start = stop
+    del binary, batch
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as a task's worker is kept for later tasks of any kind."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

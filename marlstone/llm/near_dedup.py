@@ -85,7 +85,7 @@ class SetSketch:
 def _sketched(words: int, bands: int, rows: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketcher = Shingles(words), SetSketch(bands * rows)
-        for part, texts in slices(batches, "__text", 4 << 20):
+        for part, texts in slices(batches, "__text", 1 << 20):
             sets = shingles(texts)
             registers = np.array([sketcher(s) for s in sets])
             yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.string()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["id", "n", "node", "registers"])
@@ -243,7 +243,7 @@ def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: i
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        for _, part in slices(batches, "__text", 4 << 20):
+        for _, part in slices(batches, "__text", 1 << 20):
             sets = shingles(part)
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
 

@@ -74,7 +74,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         return float(len(a) == len(b))
     both = np.concatenate([a, b])
     both.sort()
-    common = np.count_nonzero(both[1:] == both[:-1])
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
     return common / (len(both) - common)
 
 
@@ -130,7 +130,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def spotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots = SpotSigs()
         held = None  # the row before, which waits for its successor: (bucket, extra, id, text)
-        for part, texts in slices(batches, text_col, 2 << 20):
+        for part, texts in slices(batches, text_col, 1 << 20):
             rows = [*([held] if held else []), *zip(part.column("bucket").to_pylist(), part.column("extra").to_pylist(), part.column(id_col).to_pylist(), texts, strict=True)]
             held = rows[-1]
             chars = [r[3].decode() for r in rows]
@@ -152,7 +152,7 @@ def signature_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spots = SpotSigs()
-        for part, texts in slices(batches, "__text", 2 << 20):
+        for part, texts in slices(batches, "__text", 1 << 20):
             yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([s.astype(np.int64) for s in spots(texts)], pa.list_(pa.int64()))], names=[id_col, "signatures"])
 
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(sets, f"{id_col} long, signatures array<long>")

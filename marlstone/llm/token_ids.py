@@ -131,7 +131,7 @@ class ChunkEncoder:
     Chunks are known by their 64-bit hashes. Texts with special strings are encoded as they are.
     """
 
-    CHUNKS, RECENT = 2_000_000, 150_000  # remembered, and of these kept apart until they are merged into the sorted rest
+    CHUNKS, RECENT = 1_000_000, 100_000  # remembered, and of these kept apart until they are merged into the sorted rest
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -228,7 +228,7 @@ def write_ids(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int =
             return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
 
         held = 0
-        for part, texts in slices(batches, text_col, 4 << 20):
+        for part, texts in slices(batches, text_col, 1 << 20):
             for name, found in zip(part.column(id_col).to_pylist(), encoder(texts), strict=True):
                 ids.append(found)
                 names.append(name)
