@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
 # Words that report speech, and words that address someone.
 REPORTING = frozenset("said says say called calls wrote writes word words term quote quoted quotes insult insults slur slurs meaning reported phrase".split())
 ADDRESSING = frozenset("you your youre he she they are is such these those".split())
-LEAST_WEIGHT = 1.0  # of a match that says something
+LEAST_WEIGHT, MOST_EVIDENCE = 1.0, 24.0  # of a match that says something; of a text, beyond which more changes nothing
 STEMS = (4, 5, 6)  # lengths of beginnings that can stand for all their words
 OPENING, CLOSING = "\"“«„", "\"”»“"
 
@@ -145,7 +145,7 @@ class ToxicityModel:
 class Scorer:
     """Evidence in texts: each different word counts once, by its heaviest term and the window in which it is meant most."""
 
-    REMEMBERED, WINDOW = 300_000, 8
+    REMEMBERED, WINDOW = 150_000, 8
 
     def __init__(self, model: ToxicityModel):
         self.automaton = LexiconAutomaton(model.terms)
@@ -178,7 +178,7 @@ class Scorer:
                 near = [w for w, _, _ in spans[max(0, i - self.WINDOW) : i + self.WINDOW + 1]]
                 before, after = text[spans[max(0, i - self.WINDOW)][1] : start], text[end : spans[min(len(spans) - 1, i + self.WINDOW)][2]]
                 best[word] = max(best.get(word, 0.0), weight * context(before, after, near))
-        return sum(best.values())
+        return min(sum(best.values()), MOST_EVIDENCE)
 
 
 def context(before: str, after: str, near: list[str]) -> float:
@@ -205,7 +205,7 @@ def _fitting_rows(docs: DataFrame, labels: DataFrame, usable: Column, max_rows:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds three smallest hashes of four-word shingles: copies of a text agree in most of them, so that what a family of copies says counts about once."""
     hasher = WordHasher()
-    for part, texts in slices(batches, "__text", 4 << 20):
+    for part, texts in slices(batches, "__text", 1 << 20):
         words, begins = hasher(texts)
         chains = mixed(words + np.uint64(3) * np.roll(words, -1) + np.uint64(5) * np.roll(words, -2) + np.uint64(7) * np.roll(words, -3))
         least = [pa.array([int(h[a : max(a + 1, b - 3)].min()) if a < b else 0 for a, b in zip(begins, begins[1:])], pa.int64()) for k in (1, 2, 3) for h in [(mixed(chains * np.uint64(2 * k + 1)) >> np.uint64(1)).astype(np.int64)]]
@@ -223,7 +223,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[1].clear()
         return batch
 
-    for part, texts in slices(batches, "__text", 4 << 20):
+    for part, texts in slices(batches, "__text", 1 << 20):
         for text, toxic in zip(texts, part.column("__toxic").to_pylist(), strict=True):
             counts[bool(toxic)].update(set(WORD.findall(text.decode().lower())))
         if len(counts[0]) + len(counts[1]) > 400_000:
@@ -252,11 +252,12 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 2
     parts = words.where(F.length("word") > 4).select(F.struct("toxic", "clean").alias("own"), F.explode(F.array_distinct(F.array(*(F.substring("word", 1, n) for n in STEMS)))).alias("text"))
     stems = parts.groupBy("text").agg(F.sum("own.toxic").alias("toxic"), F.sum("own.clean").alias("clean"), F.max("own").alias("most"), F.count("*").alias("words")).where("words >= 5")
     stems = stems.withColumn("toxic", F.col("toxic") - F.col("most.toxic")).withColumn("clean", F.col("clean") - F.col("most.clean"))
-    stems = stems.where(marked).select("text", weight.alias("weight"), F.lit(True).alias("stem"), gain.alias("gain"))
-    exact = words.where(marked).select(F.col("word").alias("text"), weight.alias("weight"), F.lit(False).alias("stem"), gain.alias("gain"))
+    stems = stems.where(marked).select("text", "toxic", "clean", weight.alias("weight"), F.lit(True).alias("stem"), gain.alias("gain"))
+    exact = words.where(marked).select(F.col("word").alias("text"), "toxic", "clean", weight.alias("weight"), F.lit(False).alias("stem"), gain.alias("gain"))
     top = stems.union(exact).orderBy(F.desc("gain"), "text", "stem").limit(max_terms).collect()
-    kept = {r.text for r in top if r.stem}
-    terms = [Term(r.text, min(r.weight, 8.0), r.stem, 0.8 * min(r.weight, 8.0)) for r in top if r.stem or not any(r.text[:n] in kept for n in STEMS)]
+    kept = _apart({r.text: (r.toxic, r.clean, r.weight) for r in top if r.stem}, base, beyond)
+    found = [*((s, w, True) for s, w in sorted(kept.items())), *((r.text, r.weight, False) for r in top if not r.stem and not any(r.text[:n] in kept for n in STEMS))]
+    terms = [Term(text, min(w, 8.0), stem, 0.8 * min(w, 8.0)) for text, w, stem in found]
     near: dict[int, list[int]] = {}
     for r in words.mapInArrow(_near_words(terms), "term int, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect():
         near[r.term] = [r.clean, r.toxic]
@@ -282,20 +283,46 @@ def _near_words(terms: list[Term]):
 def _evidence(model: ToxicityModel):
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
-        for part, texts in slices(batches, "__text", 4 << 20):
+        for part, texts in slices(batches, "__text", 1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.evidence(t.decode()) for t in texts], pa.float64()), part.column("__toxic")], names=["evidence", "toxic"])
 
     return evidence
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float, float]:
-    """Intercept and slope by Newton's method; the slope is held back a little, so separable data give finite values."""
-    inputs, beta = np.stack([np.ones_like(x), x], 1), np.array([-3.0, 1.0])
-    hold = np.diag([1e-3, penalty])
-    for _ in range(60):
+def _apart(stems: dict[str, tuple[int, int, float]], base: float, beyond: float) -> dict[str, float]:
+    """Weights of the stems to use, of (toxic, clean, weight): a shorter one takes the place of longer ones where it says as much; else it must hold without them."""
+    used: dict[str, float] = {}
+    for stem in sorted(stems, key=lambda s: (-len(s), s)):
+        toxic, clean, weight = stems[stem]
+        longer = [s for s in used if s.startswith(stem)]
+        if longer and weight < max(used[s] for s in longer) - 0.5:
+            toxic, clean = (n - sum(stems[s][i] for s in longer) for i, n in enumerate((toxic, clean)))
+            share = (toxic + 0.01) / (toxic + clean + 0.02)
+            if share > 0.5 and toxic * math.log(share / base) + clean * math.log((1 - share) / (1 - base)) > beyond:
+                used[stem] = weight
+        else:
+            for s in longer:
+                del used[s]
+            used[stem] = weight
+    return used
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float, float]:
+    """Intercept and slope of the likeliest curve, the slope held back a little so that separable data give finite values. Newton steps are halved until they help, so they don't overshoot."""
+    inputs, beta = np.stack([np.ones_like(x), x], 1), np.array([-3.0, 0.5])
+    hold = np.array([1e-3, penalty])
+
+    def loss(b: np.ndarray) -> float:
+        z = inputs @ b
+        return float(np.logaddexp(0, z).sum() - (y * z).sum() + (hold * b * b).sum() / 2)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(inputs @ beta, -40, 40)))
-        step = np.linalg.solve(inputs.T @ (inputs * (p * (1 - p) + 1e-9)[:, None]) + hold, inputs.T @ (y - p) - hold @ beta)
-        beta = beta + np.clip(step, -1, 1)
+        gradient = inputs.T @ (y - p) - hold * beta
+        step = np.linalg.solve(inputs.T @ (inputs * (p * (1 - p))[:, None]) + np.diag(hold), gradient)
+        while loss(beta + step) > loss(beta) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        beta = beta + step
         if np.abs(step).max() < 1e-7:
             break
     return float(beta[0]), float(max(beta[1], 0.0))
@@ -307,7 +334,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, id_c
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for part, texts in slices(batches, "__text", 4 << 20):
+        for part, texts in slices(batches, "__text", 1 << 20):
             scores = [sent.value.score(scorer.evidence(t.decode())) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=[id_col, "score", "predicted"])
 
@@ -321,7 +348,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7,
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
-        for part, texts in slices(batches, text_col, 4 << 20):
+        for part, texts in slices(batches, text_col, 1 << 20):
             yield part.filter(pa.array([sent.value.score(scorer.evidence(t.decode())) < threshold for t in texts]))
 
     return docs.mapInArrow(kept, docs.schema)
