@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_copies: int)
 
 def _ranked(rows: DataFrame, max_copies: int) -> DataFrame:
     """Adds __whole (certain copies) and __key: the document's odds u / (1 - u) over its inclusion odds p / (1 - p), as odds / (1 + odds) in 0 to 1."""
-    expected = F.least(F.lit(float(max_copies)), F.coalesce(F.col("target") / F.col("source_size") * F.col("__priority") * F.col("__scale"), F.lit(0.0)))
+    expected = F.least(F.lit(float(max_copies)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")) * F.col("__priority") * F.col("__scale"), F.lit(0.0)))
     rows = rows.withColumn("__expected", expected).withColumn("__whole", F.floor("__expected"))
     p = F.col("__expected") - F.col("__whole")
     up, down = F.col("__u") * (1 - p), p * (1 - F.col("__u"))
