@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -37,7 +38,11 @@ def write_table(df: DataFrame, path: str, *, partition_by: list[str] | None = No
     if row_group:
         writer = writer.option("parquet.block.size", row_group)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return {"path": path, "rows": seen.get["rows"], "partitions": partition_by, "schema": df.schema.jsonValue(), "plan": explained(df)}
+    try:
+        rows = seen.get["rows"]
+    except Py4JJavaError:  # a plan that turned out empty has no metrics
+        rows = df.sparkSession.read.schema(df.schema).parquet(path).count()
+    return {"path": path, "rows": rows, "partitions": partition_by, "schema": df.schema.jsonValue(), "plan": explained(df)}
 
 
 def register(spark: SparkSession, name: str, path: str, schema: dict, partitions: list[str] | None = None) -> None:
