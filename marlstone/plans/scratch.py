@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def scratch(spark: SparkSession) -> str:
     """Below spark.checkpoint.dir, which all machines share; a local one only in local mode. It goes when the driver ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.gettempdir()}/marlstone"
     path = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
