@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mixed, shared_folder, slices, table, written
+from .common import WordHasher, mixed, removed, shared_folder, slices, table, written
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 #: Lists up to so many rows are broadcast to keep texts where they are; longer ones are joined by a shuffle.
@@ -126,18 +126,35 @@ def _alike(m: int, least: float):
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, component) of all nodes of (a, b): the least node that can be reached. Labels spread over edges and then jump along themselves, written to the folder each round, until none changes."""
-    both = written(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct(), f"{folder}/edges")
-    labels = written(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("component")), f"{folder}/labels-0")
-    turn = 0
-    while True:
+    """(node, component) of all nodes of (a, b): the least node that can be reached.
+
+    Each round points every node at its least neighbour, follows pointers to their ends and keeps only edges between different ends, so the edges shrink from round to round. Tables of a round are written to the folder.
+    """
+    spark = edges.sparkSession
+    edges = written(edges.select("a", "b"), f"{folder}/edges")
+    mapping = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")), f"{folder}/nodes")
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+    pairs, turn = written(ordered(edges), f"{folder}/pairs-0"), 0
+    while not pairs.isEmpty():
         turn += 1
-        jumped = labels.join(labels.select(F.col("node").alias("component"), F.col("component").alias("further")), "component").select("node", F.col("component").alias("old"), F.col("further").alias("component"))
-        near = both.join(jumped.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("near"))
-        spread = written(jumped.join(near, "node").select("node", F.least("component", "near").alias("component"), (F.least("component", "near") != F.col("old")).alias("changed")), f"{folder}/labels-{turn}")
-        labels = spread.select("node", "component")
-        if spread.where("changed").isEmpty():
-            return labels
+        both = pairs.union(pairs.select("b", "a"))
+        ends, step = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("end")).select("node", F.least("node", "end").alias("end")), f"{folder}/ends-{turn}-0"), 0
+        while True:
+            step += 1
+            further = ends.select(F.col("node").alias("end"), F.col("end").alias("further"))
+            jumped = written(ends.join(further, "end").select("node", F.col("further").alias("end"), (F.col("further") != F.col("end")).alias("moved")), f"{folder}/ends-{turn}-{step}")
+            ends = jumped.select("node", "end")
+            if jumped.where("moved").isEmpty():
+                break
+        of = lambda name: ends.select(F.col("node").alias(name), F.col("end").alias(f"end_{name}"))
+        left = ordered(pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("end_a").alias("a"), F.col("end_b").alias("b")))
+        mapping = written(mapping.join(of("component"), "component", "left").select("node", F.coalesce("end_component", "component").alias("component")), f"{folder}/mapping-{turn}")
+        pairs = written(left, f"{folder}/pairs-{turn}")
+    removed(spark, f"{folder}/edges")
+    return mapping
 
 
 def _links(words_percent: int):
@@ -204,7 +221,7 @@ def _connected(sets: list[np.ndarray], blocks: np.ndarray, key: tuple, percent:
     return forest
 
 
-def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, block: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: the least id reachable by links, which join texts whose shingle sets have 100 * intersection >= percent * union.
 
     Rows of equal sets are one node. Nodes that agree in all registers of one of the bands meet; a pair at the threshold misses all 24 with probability 3e-8. In each meeting all are tied to the node with most meetings, if the
