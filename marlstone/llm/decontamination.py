@@ -213,7 +213,7 @@ def _searched(phrases, text_col: str, shard_bytes: int, more: bool) -> Callable:
     return search
 
 
-def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block_bytes: int = 2 << 20, shard_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, spans, items) of each document: merged spans of words to remove, counted from 0, and the items found in it, sorted as strings.
 
     Null and empty texts have no words and no spans; items without words are in no text; equal item ids count once, a null one as "null". Repeated rows and null ids are kept; other columns are dropped.
@@ -229,7 +229,7 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, block
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5, window: int = 13, block_bytes: int = 16 << 20, shard_bytes: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5, window: int = 13, block_bytes: int = 2 << 20, shard_bytes: int = 2 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, of whose words less than percent lie in occurrences of the benchmark's windows. Rows without words stay; texts aren't changed."""
     blocks = phrase_blocks(benchmark, window, block_bytes, item_col=item_col, text_col=item_text_col)
 

@@ -92,7 +92,7 @@ def in_order(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key"), F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col))
-    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    bounds = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts))).first()[0]
     bounds = np.unique(np.array(bounds if parts > 1 and bounds else [], np.int64))
 
     @F.pandas_udf("int")
