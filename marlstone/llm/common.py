@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,25 +71,25 @@ def remainder(doc_id: str, modulus: int) -> Column:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches whose texts in column, as UTF-8 (null: empty), take about max_bytes; one long text is a part of its own."""
-    binary = batch = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        binary = batch.column(column).cast(pa.large_binary())
-        lengths = pa.compute.binary_length(binary).fill_null(0).to_numpy(zero_copy_only=False)
-        ends, start, n = np.cumsum(lengths), 0, batch.num_rows
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start, n = np.cumsum(lengths, dtype=np.int64), 0, batch.num_rows
         while start < n:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, "right")))
-            yield batch.slice(start, stop - start), [x or b"" for x in binary.slice(start, stop - start).to_pylist()]
+            part = batch.slice(start, stop - start)
+            yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
             start = stop
-    del binary, batch
-    trim()
+        del batch, part
+        _release()
+    gc.collect()
+    _release()
 
 
-def trim() -> None:
+def _release() -> None:
     """Gives freed memory back to the system, as a task's worker is kept for later tasks of any kind."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
