@@ -7,7 +7,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHasher, mixed, removed, shared_folder, slices, table, written
@@ -82,13 +82,13 @@ class SetSketch:
         return j[np.arange(len(j)), likelihood.argmax(1)]
 
 
-def _sketched(words: int, bands: int, rows: int):
+def _sketched(words: int, bands: int, rows: int, extra: tuple[str, ...] = ()):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, sketcher = Shingles(words), SetSketch(bands * rows)
         for part, texts in slices(batches, "__text", 1 << 20):
             sets = shingles(texts)
             registers = np.array([sketcher(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.string()), pa.array([r.tobytes() for r in registers], pa.binary())], names=["id", "n", "node", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_node, sets), pa.string()), pa.array([r.tobytes() for r in registers], pa.binary()), *(part.column(c) for c in extra)], names=["id", "n", "node", "registers", *extra])
 
     return sketch
 
@@ -229,9 +229,17 @@ def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: i
     blocks of about `block` nodes, a task for each pair of blocks, so no group grows beyond a task's memory and none is sampled or cut. Only a forest of the links leaves a task.
     Null, empty and blank texts have no shingles and are linked with nothing; a null id counts as greater than all others, and a component of null ids only has a null id; kept is id = component_id, for null ids too. Other columns are dropped.
     """
+    out = _classes(docs, words, percent, bands, rows, block, id_col, text_col)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """(id, n, node, component, component_id) of each row, with the extra columns (long): its set's name and the component's, both null without shingles, and the least id in the component."""
+    extra = extra or {}
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    sketches = written(narrow.mapInArrow(_sketched(words, bands, rows), "id long, n long, node string, registers binary"), f"{folder}/sketches")
+    narrow = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(c.alias(x) for x, c in extra.items()))
+    schema = ", ".join(["id long, n long, node string, registers binary", *(f"{x} long" for x in extra)])
+    sketches = written(narrow.mapInArrow(_sketched(words, bands, rows, tuple(extra)), schema), f"{folder}/sketches")
     nodes = written(sketches.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers")), f"{folder}/nodes")
 
     met = nodes.select("node", "registers").mapInArrow(_banded(bands), "node string, bands array<long>").select("node", F.explode("bands").alias("band"))
@@ -256,7 +264,7 @@ def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: i
     clusters = written(clusters.join(sizes, "cluster").join(nodes.select("node", "rep"), "node"), f"{folder}/clustered")
     wanted = clusters.select("rep").distinct()
     few = clusters.count() <= BROADCAST_ROWS
-    texts = narrow.join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("rep")), "left_semi")
+    texts = narrow.select("__id", "__text").join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("rep")), "left_semi")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -274,28 +282,33 @@ def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: i
 
     named = nodes.select("node", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    out = sketches.select("id", "n", "node").join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = named.join(least, "component").select("node", "component", "component_id")
+    return sketches.select("id", "n", "node", *extra).join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, without those whose component has a smaller id. Rows of one id stay or go together, and stay once if their ids are null or equal to each other.
+    """The documents, with all their columns, without the copies and near copies: of each component one row stays, that with the smallest id (null is greatest), and of several with that id the one whose text has the smallest hash.
 
-    The ids that go, or those that repeat, are broadcast up to BROADCAST_ROWS of them, else joined by a shuffle.
+    Rows are told apart by id and text, by 128 bits of both, so a row goes only if its own text is linked to the one that stays; of rows equal in both any one stays. Rows without shingles all stay.
+    The rows that go, or those that repeat, are broadcast up to BROADCAST_ROWS of them, else joined by a shuffle.
     """
     spark = docs.sparkSession
-    classes = near_classes(docs, id_col=id_col, text_col=text_col, **options)
-    ids = written(classes.groupBy(F.col(id_col).alias("__id")).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), f"{shared_folder(spark)}/ids")
-    gone, again = ids.where("not kept").select("__id"), ids.where("kept and rows > 1").select("__id")
+    own = [F.col(id_col).cast("string"), F.col(text_col).cast("string")]
+    names = {"__a": F.xxhash64(*own), "__b": F.xxhash64(F.lit(1), *own)}
+    found = _classes(docs, id_col=id_col, text_col=text_col, extra=names, **options).where("n > 0")
+    folder = shared_folder(spark)
+    rows = written(found.groupBy("component", *names).agg(F.min("id").alias("id"), F.count("*").alias("rows")), f"{folder}/rows")
+    staying = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *names)).alias("least")).select("least.__a", "least.__b")
+    gone = written(rows.join(staying, list(names), "left_anti").select(*names), f"{folder}/gone")
+    again = written(rows.where("rows > 1").join(staying, list(names), "left_semi").select(*names), f"{folder}/again")
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), how)
+        return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, list(names), how)
 
-    left = joined(docs, gone, "left_anti")
-    if again.isEmpty():
-        return left
-    return joined(left, again, "left_anti").unionByName(joined(left, again, "left_semi").dropDuplicates([id_col]))
+    left = joined(docs.withColumns(names), gone, "left_anti")
+    if not again.isEmpty():
+        left = joined(left, again, "left_anti").unionByName(joined(left, again, "left_semi").dropDuplicates(list(names)))
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

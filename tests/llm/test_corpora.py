@@ -142,6 +142,19 @@ def test_near_copies_of_edges(spark, monkeypatch):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0 and near_dedup.drop_near_copies(docs.limit(0)).count() == 0
 
 
+def test_only_copies_of_a_kept_text_go(spark):
+    r, words = random.Random(11), vocabulary(3000, 11)
+    alone = [" ".join(r.choices(words, k=40)) for _ in range(12)]
+    rows = [(None, t) for t in alone[:5]] + [(None, alone[0]), (None, alone[1] + " more")]  # null ids: five texts, a copy and a near copy
+    rows += [(1, alone[5]), (1, alone[6]), (1, alone[6])]  # an id of two texts
+    rows += [(2, alone[7] + " more"), (2, alone[8]), (0, alone[7])]  # an id of a near copy and a text of its own
+    rows += [(None, ""), (None, None), (3, alone[0])]
+    kept = [(x.doc_id, x.text) for x in near_dedup.drop_near_copies(documents(spark, [(i, t, "s") for i, t in rows])).collect()]
+    near = [x for x in kept if x[1] and x[1].startswith(alone[1])]
+    expected = [(3, alone[0]), *((None, t) for t in alone[2:5]), (1, alone[5]), (1, alone[6]), (2, alone[8]), (0, alone[7]), (None, ""), (None, None)]
+    assert len(near) == 1 and near[0][0] is None and sorted(map(str, kept)) == sorted(map(str, expected + near))
+
+
 def test_sketches_merge_and_estimate():
     rng, sketch = np.random.default_rng(3), near_dedup.SetSketch(256)
     universe = rng.integers(0, 2**63, 3000, dtype=np.uint64)
