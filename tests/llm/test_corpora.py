@@ -259,6 +259,17 @@ def test_distributions_add_up_to_one(spark):
     assert len(none.logs) == 1 and not none.state.any()
 
 
+def test_contexts_are_as_long_as_they_tell_more(spark):
+    r = random.Random(4)  # the last word depends on the first of five
+    rows = documents(spark, [(i, " ".join(r.choice(["aa xx yy zz bb", "cc xx yy zz dd"]) for _ in range(20)), "s") for i in range(100)]).select(F.col("text").alias("__text"))
+    counts = rows.mapInArrow(language_model._word_counts, "h long, k long, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
+    tree = language_model.fit(rows, counts, share=0.005, divergence=5.0)
+    hashes, classes, begins = language_model.Tokens()([b"aa xx yy zz bb", b"cc xx yy zz bb"])
+    logs = tree.log_probabilities(tree.symbols_of(hashes, classes)[0], begins)
+    assert logs[4] > math.log10(0.95) and logs[10] < math.log10(0.05) and len(tree.levels) >= 3
+    assert np.allclose((10 ** tree.logs.astype(np.float64)).sum(1), 1, atol=1e-4)
+
+
 def test_scores_of_edges(spark):
     rows = [(i, t, "s") for i, t in EDGES]
     found = language_model.score_documents(documents(spark, rows)).collect()
