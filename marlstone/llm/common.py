@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from marlstone.plans.scratch import scratch as shared_folder  # noqa: F401
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -24,26 +25,6 @@ except OSError:  # another C library
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, removed when the driver ends; a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.gettempdir()}/marlstone"
-    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    _fs(spark, path).deleteOnExit(_path(spark, path))
-    return path
-
-
-def _path(spark: SparkSession, path: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _fs(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path, read again: lineage ends there and a lost executor costs nothing."""
     df.write.mode("overwrite").parquet(path)
@@ -52,7 +33,14 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
-    _fs(spark, path).delete(_path(spark, path), True)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Lets Spark's cleaner see which shuffles and broadcasts nothing refers to any more, so that executors delete their files now and not at some later collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +52,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def long_id(docs: DataFrame, id_col: str) -> Column:
+    """The id as a long. Ids are integers or null; other types are refused before a job runs, as their order and digits would be lost."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise ValueError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+    return F.col(f"`{id_col}`").cast("long")
+
+
 def remainder(doc_id: str, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus; null where the id is null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
@@ -95,8 +91,10 @@ def _release() -> None:
         _LIBC.malloc_trim(0)
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LENGTHS = np.uint64(0x9E3779B97F4A7C15)
+#: Byte runs beyond this are hashed and compared one by one; shorter ones all together, eight bytes at a time.
+LONG_RUN = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,46 +107,74 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def padded(data: bytes) -> np.ndarray:
+    """The bytes with eight zeros after them, as hashed_runs and equal_runs read them."""
+    return np.frombuffer(data + bytes(8), np.uint8)
+
+
+def _lanes(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray((len(buffer) - 7,), "<u8", buffer, 0, (1,))
+
+
+def _lane(view: np.ndarray, at: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    lane = view[at]
+    short = rest < 8
+    lane[short] &= (np.uint64(1) << (8 * rest[short]).astype(np.uint64)) - np.uint64(1)
+    return lane
+
+
+def hashed_runs(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte runs of a padded buffer, the same in all processes.
+
+    The length and then eight bytes at a time pass through a bijective mixer, so runs of one length up to eight bytes never share a hash; long runs take the first 64 bits of BLAKE2b.
+    Nothing is summed over places, so texts of a regular structure collide no more than others.
+    """
+    lengths, view = ends - starts, _lanes(buffer)
+    out = mixed(lengths.astype(np.uint64) * _LENGTHS)
+    going, at = np.flatnonzero((lengths > 0) & (lengths <= LONG_RUN)), 0
+    while len(going):
+        rest = lengths[going] - at
+        out[going] = mixed(out[going] ^ _lane(view, starts[going] + at, rest))
+        at, going = at + 8, going[rest > 8]
+    for i in np.flatnonzero(lengths > LONG_RUN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buffer[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_runs(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether runs of padded buffers, of the same lengths, hold the same bytes."""
+    one, two, out = _lanes(a), _lanes(b), np.ones(len(lengths), bool)
+    going, at = np.flatnonzero((lengths > 0) & (lengths <= LONG_RUN)), 0
+    while len(going):
+        rest = lengths[going] - at
+        same = _lane(one, a_starts[going] + at, rest) == _lane(two, b_starts[going] + at, rest)
+        out[going[~same]] = False
+        at, going = at + 8, going[same & (rest > 8)]
+    for i in np.flatnonzero(lengths > LONG_RUN).tolist():
+        out[i] = np.array_equal(a[a_starts[i] : a_starts[i] + lengths[i]], b[b_starts[i] : b_starts[i] + lengths[i]])
+    return out
+
+
 class WordHasher:
-    """Splits lists of UTF-8 texts into words and hashes each to 64 bits, A-Z lower-cased, without a Python object for each word.
+    """Splits lists of UTF-8 texts into words and hashes each to 64 bits (hashed_runs), A-Z lower-cased, without a Python object for each word.
 
-    separators: the bytes that end words. A word's hash is a polynomial of random byte values modulo 2**64, mixed; equal words hash alike in all processes.
+    separators: the bytes that end words.
     """
 
     def __init__(self, separators: bytes = SPACES):
-        rng = np.random.default_rng(20240101)
-        values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         lower = np.arange(256)
         lower[ord("A") : ord("Z") + 1] += 32
         self.lower = lower.astype(np.uint8)
-        self.values = values[lower]
         self.word = np.ones(256, bool)
         self.word[list(separators)] = False
-        self.values[~self.word] = 0
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-            steps = np.full(n + n // 4, _BASE)
-            steps[0] = 1
-            self.powers = np.cumprod(steps)
-            steps[1:] = inverse
-            self.inverse = np.cumprod(steps)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words in order, and for each text the index of its first word, with the end of the last."""
-        return self.parts(texts)[:2]
-
-    def parts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same, with the bytes of all texts and the ends of their words in them."""
-        buffer = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-        self._grow(len(buffer) + 1)
-        isword = self.word[buffer]
+        separator = bytes([int(np.argmin(self.word))])
+        buffer = self.lower[padded(separator.join([b"", *texts, b""]))]
+        isword = self.word[buffer[:-8]]
         change = np.flatnonzero(np.diff(isword.view(np.int8), prepend=np.int8(0)))
         starts, ends = change[::2], change[1::2]
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(self.values[buffer] * self.powers[: len(buffer)], out=sums[1:])
-        hashes = mixed((sums[ends] - sums[starts]) * self.inverse[starts])
         text_starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        return hashes, np.searchsorted(starts, text_starts), buffer, ends
+        return hashed_runs(buffer, starts, ends), np.searchsorted(starts, text_starts)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from marlstone.llm import language_model, mixing, near_dedup, spot_signatures
 
+pytestmark = pytest.mark.filterwarnings("error::RuntimeWarning")
 EDGES = [(1, None), (2, ""), (3, " \n"), (4, "word"), (4, "word"), (None, "no id"), (None, "no id"), (5, "a b " * 20_000), (6, "z" * 5000)]
 
 
@@ -235,39 +236,108 @@ def base_scores(rows):
     return {i: (zlib.crc32(str(i).encode()) % 5 == 1, len(ws), sum(counts[w] > 0 for w in ws), total, sum(math.log10((counts[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws)) for i, ws in tokens.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"share": 0.01, "counted_share": 0.02, "entry_share": 0.001}, {"share": 0.3, "counted_share": 0.5}, {"max_cells": 10}])
-def test_scores(spark, options):
-    rows = model_rows()
-    found = language_model.score_documents(documents(spark, rows), **options).collect()
-    expected = base_scores(rows)
+def brute_scores(rows, options):
+    """The suffix tree in dictionaries: every count is taken over all training texts."""
+    texts = [[*(t or "").encode().lower().split(), None] for _, t, _ in rows]
+    teaches = [zlib.crc32(str(i).encode()) % 5 != 1 if i is not None else True for i, _, _ in rows]
+    counts = Counter(w for ws, t in zip(texts, teaches, strict=True) for w in ws if t)
+    total, kinds = sum(counts.values()), len(counts)
+    p = {(k, i): np.float32(10 ** (math.log10(counts[w] + 0.5) - math.log10(total + 0.5 * (kinds + 1)))) for k, ws in enumerate(texts) for i, w in enumerate(ws)}
+    seen = {(k, i): counts[w] for k, ws in enumerate(texts) for i, w in enumerate(ws)} | {(k, -1): counts[None] for k in range(len(texts))}
+    open_, misses, level, tree = set(p), Counter(), 0, set()
+    while open_ := {(k, i) for k, i in open_ if i - level - 1 >= -1 and seen[k, i - 1] >= options.least}:
+        level += 1
+        context = {(k, i): tuple([None, *texts[k]][i + 1 - level : i + 1]) for k, i in open_}
+        pairs, fine = Counter(), {}
+        for k, i in open_:
+            pairs[context[k, i], texts[k][i]] += teaches[k]
+            fine[context[k, i], texts[k][i]] = min(255, round(-8 * math.log(p[k, i]))) / 8
+        of = {}
+        for (c, w), n in pairs.items():
+            of.setdefault(c, []).append((n, fine[c, w]))
+        judged = {}
+        for c, own in of.items():
+            size, twice = sum(n for n, _ in own), [(n, f) for n, f in own if n >= 2]
+            left = 1 - sum(n - options.discount for n, _ in twice) / max(size, 1)
+            rest = size - sum(n for n, _ in twice)
+            gain = sum(n * (math.log((n - options.discount) / size) + f) for n, f in twice) + (rest * math.log(left) if rest else 0)
+            kept = gain > options.divergence and size >= options.least
+            cost = -sum(n * (math.log((n - options.discount) / size) if kept else -f) for n, f in twice)
+            judged[c] = size, left if kept else 1, cost > options.divergence
+            if kept:
+                tree.add(c)
+        going = set()
+        for k, i in open_:
+            c, n = context[k, i], pairs[context[k, i], texts[k][i]]
+            size, left, more = judged[c]
+            if left < 1:
+                p[k, i] = np.float32((n - options.discount if n >= 2 else 0) / size + left * p[k, i])
+                misses[k, i] = 0
+            else:
+                misses[k, i] += 1
+            seen[k, i] = n
+            if more and misses[k, i] <= options.patience:
+                going.add((k, i))
+        open_ = going
+    return [sum(math.log10(p[k, i]) for i in range(len(ws))) for k, ws in enumerate(texts)], tree
+
+
+def long_contexts(n=60):
+    """The last of five words depends on the first."""
+    r = random.Random(4)
+    return [(1000 + i, " ".join(r.choice(["aa xx yy zz bb", "cc xx yy zz dd"]) for _ in range(20)), "s") for i in range(n)]
+
+
+@pytest.mark.parametrize("options", [{}, {"bundle_bytes": 200, "bucket_tokens": 300, "hot": 8}, {"hot": 1, "divergence": 2.0, "discount": 0.5}, {"least": 8, "patience": 0}])
+def test_scores_equal_brute_force(spark, options):
+    rows, options = [*model_rows(), *long_contexts(), *((i + 2000, t, s) for i, t, s in model_rows(10))], language_model.TreeOptions(**options)
+    found = language_model.score_documents(documents(spark, rows), options=options).collect()
+    expected, (scores, tree) = base_scores(rows), brute_scores(rows, options)
+    by_id = {i: s for (i, _, _), s in zip(rows, scores, strict=True)}
+    assert len(found) == len(rows)
     for r in found:
         held_out, n, known, total, base = expected[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, n, known, total) and math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, n, known, total) and math.isclose(r.base_score, base, rel_tol=1e-9)
+        assert math.isclose(r.score, by_id[r.doc_id], rel_tol=1e-4)
     held = [r for r in found if r.held_out]
-    if not options or "entry_share" in options:
-        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert sum(r.score for r in held) > 0.85 * sum(r.base_score for r in held)
+    if options.patience and options.divergence > 2:
+        assert 5 > max(map(len, tree)) >= 4 and len(tree) > 50
+
+
+def test_the_tree_grows_with_the_corpus(spark):
+    sizes = [len(brute_scores(model_rows(n, 20), language_model.TreeOptions())[1]) for n in (50, 200, 800)]
+    assert sizes[0] < sizes[1] < sizes[2]
+
+
+def test_longer_contexts_tell_more(spark):
+    """After five words whose first decides the last: the right last word is likely, the other isn't."""
+    probes = [i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows = [*long_contexts(), (probes[0], "aa xx yy zz bb", "s"), (probes[1], "aa xx yy zz dd", "s")]
+    found = {r.doc_id: r.score for r in language_model.score_documents(documents(spark, rows)).collect()}
+    assert found[probes[0]] > found[probes[1]] + 2
 
 
-def test_distributions_add_up_to_one(spark):
-    r = random.Random(3)  # what follows "b" depends on what stands before it
-    texts = [(i, " ".join(r.choice(["a b c", "d b e"]) for _ in range(20)), "s") for i in range(200)]
-    rows = documents(spark, [*model_rows(400), *texts]).select(F.coalesce("text", F.lit("")).alias("__text"))
-    counts = rows.mapInArrow(language_model._word_counts, "h long, k long, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
-    tree = language_model.fit(rows, counts, share=0.005, divergence=5.0)
-    assert np.allclose((10 ** tree.logs.astype(np.float64)).sum(1), 1, atol=1e-4) and len(tree.logs) > 20 and 2 <= len(tree.pairs) < 50
-    none = language_model.fit(rows, counts, share=0.005, divergence=1e9)
-    assert len(none.logs) == 1 and not none.state.any()
+def test_wrong_options_are_refused(spark):
+    for wrong in ({"least": 0}, {"discount": 1.0}, {"divergence": -1.0}, {"bundle_bytes": 0}):
+        with pytest.raises(ValueError, match="impossible"):
+            language_model.score_documents(documents(spark, []), options=language_model.TreeOptions(**wrong))
 
 
-def test_contexts_are_as_long_as_they_tell_more(spark):
-    r = random.Random(4)  # the last word depends on the first of five
-    rows = documents(spark, [(i, " ".join(r.choice(["aa xx yy zz bb", "cc xx yy zz dd"]) for _ in range(20)), "s") for i in range(100)]).select(F.col("text").alias("__text"))
-    counts = rows.mapInArrow(language_model._word_counts, "h long, k long, n long").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
-    tree = language_model.fit(rows, counts, share=0.005, divergence=5.0)
-    hashes, classes, begins = language_model.Tokens()([b"aa xx yy zz bb", b"cc xx yy zz bb"])
-    logs = tree.log_probabilities(tree.symbols_of(hashes, classes)[0], begins)
-    assert logs[4] > math.log10(0.95) and logs[10] < math.log10(0.05) and len(tree.levels) >= 3
-    assert np.allclose((10 ** tree.logs.astype(np.float64)).sum(1), 1, atol=1e-4)
+def test_rows_travel_whole():
+    rng = np.random.default_rng(1)
+    arrays = {"a": rng.integers(0, 2**64, 1000, dtype=np.uint64), "b": np.zeros(0, np.float32), "c": rng.random(7).astype(np.float32), "d": np.array([True, False])}
+    found = language_model.unpack(language_model.pack(**arrays))
+    assert all((found[k] == v).all() and found[k].dtype == v.dtype and len(found[k]) == len(v) for k, v in arrays.items())
+
+
+def test_regular_words_are_known_apart(spark):
+    """A word and its complement in the Thue-Morse order, of which only one is in the training texts."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    held, taught = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 5 == 1) == h) for h in (True, False))
+    other = word.translate(str.maketrans("ab", "ba"))
+    found = {r.doc_id: r.n_known for r in language_model.score_documents(documents(spark, [(taught, word, "s"), (held, other, "s")])).collect()}
+    assert found == {taught: 2, held: 1}
 
 
 def test_scores_of_edges(spark):
@@ -279,15 +349,6 @@ def test_scores_of_edges(spark):
     assert {(r.train_tokens, r.n_known, r.base_score) for r in language_model.score_documents(documents(spark, held)).collect()} == {(0, 0, 0.0)}
 
 
-def test_tallies_in_little_memory():
-    rng, tally, keys = np.random.default_rng(7), language_model.Tally(50), []
-    for _ in range(30):
-        keys.append(rng.integers(0, 100, 40))
-        tally.add(keys[-1])
-    k, n = tally.taken()
-    assert dict(zip(k.tolist(), n.tolist(), strict=True)) == dict(Counter(np.concatenate(keys).tolist())) and not len(tally.taken()[0])
-
-
 # the pipeline
 
 
