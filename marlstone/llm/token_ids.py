@@ -7,18 +7,19 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mixed, shared_folder, slices, table, written
+from .common import equal_runs, hashed_runs, long_id, padded, shared_folder, slices, table, text_of, written
 
-MAGIC, BLOCK, HEAD, PERCENTILE = b"PFR1", 256, 7, 90
+MAGIC, SEGMENT, BLOCK, HEAD, PERCENTILE = b"PFR1", b"PFS1", 256, 7, 90
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -84,7 +85,7 @@ def decode_ids(data: bytes, first_block: int = 0, n_blocks: int | None = None) -
     tail = starts[block] + HEAD + BLOCK * width[block] // 8
     place = body[(tail + 2 * nth)[:, None] + np.arange(2)].reshape(-1).view("<u2")
     values[block, place] = body[(tail + 2 * extra[block] + 4 * nth)[:, None] + np.arange(4)].reshape(-1).view("<u4")
-    return values.reshape(-1)[: n - first_block * BLOCK]
+    return values.reshape(-1)[: max(0, n - first_block * BLOCK)]
 
 
 class ChunkHasher:
@@ -94,20 +95,16 @@ class ChunkHasher:
     """
 
     def __init__(self):
-        hasher = WordHasher(b"")
-        rng = np.random.default_rng(99)
-        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.hasher = hasher
         byte = np.arange(256)
         self.visible = (byte > 32) & (byte != 127) & ~np.isin(byte, [0xC2, 0xE1, 0xE2, 0xE3])
         self.letter = ((byte >= 65) & (byte <= 90)) | ((byte >= 97) & (byte <= 122))
         self.mark = ((byte > 32) & (byte < 127)) & ~self.letter & ~((byte >= 48) & (byte <= 57))
         self.latin = (byte >= 0x80) & (byte <= 0xBF) & (byte != 0x97) & (byte != 0xB7)  # after 0xC3
 
-    def __call__(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(all bytes, starts and ends of the chunks, their hashes, and for each text the index of its first, with the end)."""
-        joined = b"\0".join([b"", *texts, b""])
-        buffer = np.frombuffer(joined, np.uint8)
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(all bytes, padded; starts and lengths of the chunks, their hashes, and for each text the index of its first, with the end)."""
+        whole = padded(b"\0".join([b"", *texts, b""]))
+        buffer = whole[:-8]
         cut = np.zeros(len(buffer), bool)
         cut[1:-1] = ((buffer[1:-1] == 32) | (buffer[1:-1] == 10)) & self.visible[buffer[2:]]
         cut[2:] |= self.mark[buffer[2:]] & (self.letter[buffer[1:-1]] | ((buffer[:-2] == 0xC3) & self.latin[buffer[1:-1]]))
@@ -119,16 +116,29 @@ class ChunkHasher:
         ends = np.append(starts[1:], 0)
         last = first[1:][lengths > 0] - 1
         ends[last] = (begins + lengths)[lengths > 0]
-        self.hasher._grow(len(buffer) + 1)
-        sums = np.zeros(len(buffer) + 1, np.uint64)
-        np.cumsum(self.values[buffer] * self.hasher.powers[: len(buffer)], out=sums[1:])
-        return joined, starts, ends, mixed((sums[ends] - sums[starts]) * self.hasher.inverse[starts]), first
+        return whole, starts, ends - starts, hashed_runs(whole, starts, ends), first
+
+
+class _Store:
+    """A growing array."""
+
+    def __init__(self, dtype: type):
+        self.data, self.used = np.zeros(1 << 20, dtype), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """The place of the values, once stored; eight zeros follow the last."""
+        while self.used + len(values) + 8 > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        place = self.used
+        self.data[place : place + len(values)] = values
+        self.used += len(values)
+        return place
 
 
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each chunk that isn't remembered.
 
-    Chunks are known by their 64-bit hashes. Texts with special strings are encoded as they are.
+    Chunks are looked up by their 64-bit hashes and then compared byte by byte; a text with a chunk that only shares another one's hash is encoded whole, as are texts with special strings. So the ids are always the library's.
     """
 
     CHUNKS, RECENT = 1_000_000, 100_000  # remembered, and of these kept apart until they are merged into the sorted rest
@@ -145,23 +155,19 @@ class ChunkEncoder:
 
     def forget(self) -> None:
         nothing = np.zeros(0, np.int64)
-        self.known = self.recent = (nothing.view(np.uint64), nothing, nothing)  # ascending hashes; place and number of their ids
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.known = self.recent = (nothing.view(np.uint64), *[nothing] * 4)  # ascending hashes; place and number of their ids, place and number of their bytes
+        self.ids, self.bytes = _Store(np.uint32), _Store(np.uint8)
 
     def _find(self, where: tuple, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(where[0], hashes), max(0, len(where[0]) - 1))
         return np.where(where[0][at] == hashes, at, -1) if len(where[0]) else np.full(len(hashes), -1)
 
-    def _learn(self, hashes: np.ndarray, chunks: list[str]) -> None:
-        found = [array("I", e.ids) for e in self.encode(chunks)]
-        counts = np.array([len(f) for f in found], np.int64)
-        flat = np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        places = self.used + np.cumsum(counts) - counts
-        self.used += len(flat)
-        self.recent = self._merged(self.recent, (hashes, places, counts))
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        found = [array("I", e.ids) for e in self.encode([c.decode() for c in chunks])]
+        counts, sizes = np.array([len(f) for f in found], np.int64), np.array([len(c) for c in chunks], np.int64)
+        place = self.ids.add(np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32))
+        bytes_place = self.bytes.add(np.frombuffer(b"".join(chunks), np.uint8))
+        self.recent = self._merged(self.recent, (hashes, place + np.cumsum(counts) - counts, counts, bytes_place + np.cumsum(sizes) - sizes, sizes))
         if len(self.recent[0]) > self.RECENT:
             self.known, self.recent = self._merged(self.known, self.recent), tuple(x[:0] for x in self.recent)
 
@@ -174,27 +180,34 @@ class ChunkEncoder:
         """For each text its ids."""
         if len(self.known[0]) > self.CHUNKS:
             self.forget()
-        special = [any(s in t for s in self.specials) for t in texts]
-        joined, starts, ends, hashes, first = self.hasher([b"" if s else t for t, s in zip(texts, special, strict=True)])
+        alone = np.array([any(s in t for s in self.specials) for t in texts], bool)
+        buffer, starts, lengths, hashes, first = self.hasher([b"" if s else t for t, s in zip(texts, alone.tolist(), strict=True)])
         order = np.argsort(hashes)
         ordered = hashes[order]
         new = np.concatenate([np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1]])
         distinct, example = ordered[new], order[new]
         missing = np.flatnonzero((self._find(self.known, distinct) < 0) & (self._find(self.recent, distinct) < 0))
         if len(missing):
-            some = example[missing]
-            self._learn(distinct[missing], [joined[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-        at, near = self._find(self.known, distinct), self._find(self.recent, distinct)
-        place, count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-        for where, found in ((self.known, at), (self.recent, near)):
-            place[found >= 0], count[found >= 0] = where[1][found[found >= 0]], where[2][found[found >= 0]]
+            some, data = example[missing], buffer.tobytes()
+            self._learn(distinct[missing], [data[a : a + n] for a, n in zip(starts[some].tolist(), lengths[some].tolist(), strict=True)])
+        found = np.zeros((4, len(distinct)), np.int64)
+        for where in (self.known, self.recent):
+            at = self._find(where, distinct)
+            for row, values in zip(found, where[1:], strict=True):
+                row[at >= 0] = values[at[at >= 0]]
+        place, count, bytes_place, size = found
         which = np.empty(len(hashes), np.int64)
         which[order] = np.cumsum(new) - 1
+        # one comparison with what is remembered for each different hash, and one with that chunk for each occurrence
+        right = (size == lengths[example]) & equal_runs(buffer, starts[example], self.bytes.data, bytes_place, np.minimum(size, lengths[example]))
+        model = example[which]
+        right = right[which] & (lengths == lengths[model]) & equal_runs(buffer, starts, buffer, starts[model], np.minimum(lengths, lengths[model]))
+        alone |= np.add.reduceat(np.append(~right, False), first[:-1]).astype(bool) & (np.diff(first) > 0) if len(texts) else False
         counts = count[which]
         stops = np.cumsum(counts)
-        ids = self.ids[np.repeat(place[which] - stops + counts, counts) + np.arange(stops[-1] if len(stops) else 0)]
+        ids = self.ids.data[np.repeat(place[which] - stops + counts, counts) + np.arange(stops[-1] if len(stops) else 0)]
         bounds = np.concatenate([[0], stops])[first]
-        return [np.array(self.encode([t.decode()])[0].ids, np.uint32) if s else ids[a:b] for t, s, (a, b) in zip(texts, special, pairwise(bounds.tolist()), strict=True)]
+        return [np.array(self.encode([t.decode()])[0].ids, np.uint32) if s else ids[a:b] for t, s, (a, b) in zip(texts, alone.tolist(), pairwise(bounds.tolist()), strict=True)]
 
 
 @functools.lru_cache(1)
@@ -203,75 +216,103 @@ def _encoder(vocabulary: str) -> ChunkEncoder:
     return ChunkEncoder(vocabulary)
 
 
+@dataclass
+class Segment:
+    """The bytes of one file of whole documents: magic, number of documents (u64), the ends of their ids (u64 each), which ids are null (a byte each), their ids (i64 each), and encode_ids of all token ids."""
+
+    data: bytes
+
+    @classmethod
+    def of(cls, names: list[int | None], ids: list[np.ndarray]) -> Segment:
+        ends = np.cumsum([len(x) for x in ids])
+        parts = [SEGMENT, np.uint64(len(names)).tobytes(), ends.astype("<u8").tobytes(), np.array([n is None for n in names], np.uint8).tobytes(), np.array([n or 0 for n in names], "<i8").tobytes()]
+        return cls(b"".join([*parts, encode_ids(np.concatenate(ids))]))
+
+    def documents(self, window: int = 64) -> Iterator[tuple[int | None, int, int, int]]:
+        """(id, place of its first token id, number of token ids, their CRC-32) of each document. Token ids are unpacked some blocks at a time, which the block index finds, so a long document takes no more memory."""
+        if self.data[:4] != SEGMENT:
+            raise ValueError("not a segment of token ids")
+        n = int(np.frombuffer(self.data, "<u8", 1, 4)[0])
+        ends = np.frombuffer(self.data, "<u8", n, 12).astype(np.int64)
+        null, names = np.frombuffer(self.data, np.uint8, n, 12 + 8 * n), np.frombuffer(self.data, "<i8", n, 12 + 9 * n)
+        blocks = memoryview(self.data)[12 + 17 * n :]
+        held, at, upto = None, 0, 0
+        for i, (start, end) in enumerate(pairwise([0, *ends.tolist()])):
+            crc, place = 0, start
+            while place < end:
+                if place >= upto:
+                    at = place // BLOCK
+                    held = decode_ids(blocks, at, window).astype("<u4", copy=False)
+                    at, upto = at * BLOCK, at * BLOCK + len(held)
+                    if not len(held):
+                        raise ValueError(f"{end} ids are named, {place} written")
+                stop = min(end, upto)
+                crc, place = zlib.crc32(held[place - at : stop - at], crc), stop
+            yield None if null[i] else int(names[i]), start, end - start, crc
+
+
 def write_ids(docs: DataFrame, vocabulary_path: str, path: str, *, end_id: int = 0, segment_tokens: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of all texts in ascending id order, an end id after each, and returns the written table.
 
-    A row is one segment of whole documents: (shard, segment, start: ids before it in its shard, doc_ids, doc_tokens, payload: encode_ids of its ids). Shards follow each other in id order, segments in a shard too.
-    Null ids come first, equal ids in the order of their texts; a null text is empty, so it has only the end id. The texts are shuffled once, by ranges of the id; a task holds one segment.
-    Files are committed by Spark's writer, so a lost executor's part is written again and never twice.
+    A row is one file of whole documents (Segment) with its place: shard, segment, start (token ids before it in its shard), n_ids, payload. Shards follow each other in id order, segments in a shard too.
+    Null ids come first, rows of one id in the order of their texts' hashes, then their texts, so rows of one id are split over tasks as others are; a null text is empty, so it has only the end id. Ids must be integers or null.
+    The texts are shuffled once, by ranges; a task holds one segment, of one document where that is longer. Files are committed by Spark's writer, so a lost executor's part is written again and never twice.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Path(vocabulary_path).read_text("utf-8"))
     end = np.array([end_id], np.uint32)
+    schema = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("payload", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, number, start = _encoder(vocabulary.value), TaskContext.get().partitionId(), 0, 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
+        held = 0
 
         def flushed():
-            nonlocal number, start
-            joined = np.concatenate([x for own in ids for x in (own, end)])
-            row = {"shard": shard, "segment": number, "start": start, "doc_ids": names[:], "doc_tokens": [len(x) + 1 for x in ids], "payload": encode_ids(joined)}
-            number, start = number + 1, start + len(joined)
+            nonlocal number, start, held
+            row = {"shard": shard, "segment": number, "start": start, "n_ids": held, "payload": Segment.of(names, ids).data}
+            number, start, held = number + 1, start + held, 0
             ids.clear()
             names.clear()
-            return pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())]))
+            return pa.RecordBatch.from_pylist([row], schema)
 
-        held = 0
-        for part, texts in slices(batches, text_col, 1 << 20):
-            for name, found in zip(part.column(id_col).to_pylist(), encoder(texts), strict=True):
-                ids.append(found)
+        for part, texts in slices(batches, "__text", 1 << 20):
+            for name, found in zip(part.column("__id").to_pylist(), encoder(texts), strict=True):
+                ids.append(np.concatenate([found, end]))
                 names.append(name)
                 held += len(found) + 1
                 if held >= segment_tokens:
                     yield flushed()
-                    held = 0
         if names:
             yield flushed()
 
-    ordered = docs.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(text_col)).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
-    return written(ordered.mapInArrow(segments, "shard int, segment int, start long, doc_ids array<long>, doc_tokens array<long>, payload binary"), path)
+    keyed = docs.select(long_id(docs, id_col).alias("__id"), text_of(text_col).alias("__text"), F.xxhash64(text_of(text_col)).alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    # __row only tells equal rows apart for the ranges; any order of them gives the same files
+    ordered = keyed.repartitionByRange("__id", "__hash", "__row").select("__id", "__text", "__hash").sortWithinPartitions("__id", "__hash", "__text")
+    return written(ordered.select("__id", "__text").mapInArrow(segments, "shard int, segment int, start long, n_ids long, payload binary"), path)
 
 
 def read_ids(segments: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of each document, from the payloads of a table of write_ids.
 
-    Only one row for each shard is gathered, to turn places in a shard into places in all files; the payloads aren't shuffled.
+    Only one row for each shard is gathered, to turn places in a shard into places in all files; the payloads aren't shuffled. An empty table has no documents.
     """
-    from pyspark.sql import Window
-
-    sizes = segments.groupBy("shard").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("size"))
+    sizes = segments.groupBy("shard").agg(F.sum("n_ids").alias("size"))
     bases = sizes.select("shard", (F.sum("size").over(Window.orderBy("shard")) - F.col("size")).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, at = decode_ids(row["payload"]).astype("<u4", copy=False), 0
-                starts, sums = [], []
-                for n in row["doc_tokens"]:
-                    starts.append(row["base"] + row["start"] + at)
-                    sums.append(zlib.crc32(ids[at : at + n]))
-                    at += n
-                if at != len(ids):
-                    raise ValueError(f"shard {row['shard']}, segment {row['segment']}: {len(ids)} ids for {at}")
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array(row["doc_tokens"], pa.int64()), pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
+            for row in range(batch.num_rows):
+                before = batch.column("base")[row].as_py() + batch.column("start")[row].as_py()
+                found = [(name, before + start, n, crc) for name, start, n, crc in Segment(batch.column("payload")[row].as_py()).documents()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     joined = segments.join(F.broadcast(bases), "shard")  # one row for each partition of the writing stage
-    return joined.mapInArrow(documents, f"{id_col} long, start long, n_tokens long, ids_crc32 long")
+    return joined.mapInArrow(documents, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, path: str | None = None, **more) -> DataFrame:
-    """write_ids to path (a new shared folder, if none) and read_ids from there."""
+    """write_ids to path (a new shared folder, if none) and read_ids from there; nulls, empty and long texts, repeated rows and empty tables as there, other columns are dropped."""
     return read_ids(write_ids(docs, vocabulary_path, path or shared_folder(docs.sparkSession), **more))
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import decontamination as dc
 from marlstone.llm import license_scans, token_counts, token_ids, toxicity, url_filters
-from marlstone.llm.common import WordHasher, slices
+from marlstone.llm import common
+from marlstone.llm.common import WordHasher, equal_runs, padded, slices
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,9 +37,34 @@ def random_texts(n: int, seed: int = 1) -> list[str]:
 EDGES = [(1, None), (2, ""), (3, " \n"), (4, "word"), (4, "word"), (None, "no id"), (5, "a b " * 30_000), (6, "z" * 5000)]
 
 
+def regular(n: int) -> tuple[str, str]:
+    """The Thue-Morse word of n letters and its complement: sums over places take such pairs for one."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+REGULAR = [f"{before}{word}{after}" for n in (64, 1024, 2048) for word in regular(n) for before, after in (("", ""), ("the first ", " the last"))]
+
+
 # words
 
 
+def test_regular_words_have_hashes_of_their_own():
+    words = [w for n in (8, 16, 64, 65, 256, 1024, 2048, 4096) for w in regular(n)] + ["a" * n for n in range(1, 200)]
+    hashes, begins = WordHasher()([w.encode() for w in words])
+    assert len(set(hashes.tolist())) == len(set(words)) == len(hashes) and begins.tolist() == list(range(len(words) + 1))
+
+
+def test_runs_are_compared_byte_by_byte():
+    r = random.Random(12)
+    words = ["".join(r.choices("ab", k=r.choice([1, 7, 8, 9, 16, 63, 64, 65, 130]))).encode() for _ in range(400)]
+    words += [w[:-1] + b"c" for w in words]
+    lengths = np.array([len(w) for w in words])
+    starts, buffer = np.cumsum(lengths) - lengths, padded(b"".join(words))
+    a, b = np.array([(i, j) for i in range(0, 800, 7) for j in range(800) if lengths[i] == lengths[j]]).T
+    assert equal_runs(buffer, starts[a], buffer, starts[b], lengths[a]).tolist() == [words[i] == words[j] for i, j in zip(a, b, strict=True)]
+
+
 def test_word_hashes_agree_with_splitting():
     texts = [t.encode() for t in random_texts(200)] + [b"", b" ", b"A a"]
     hashes, begins = WordHasher()(texts)
@@ -111,10 +137,20 @@ def test_remembering_little_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(token_ids.ChunkEncoder, "RECENT", 2)
     vocabulary = open(VOCABULARY, encoding="utf-8").read()
     counter, encoder = token_counts.MergeCounter(vocabulary), token_ids.ChunkEncoder(vocabulary)
-    for text in random_texts(200, 5):
+    for text in [*random_texts(200, 5), *REGULAR]:
         assert counter.count(text) == len(ids_of(tokenizer, text)) and encoder([text.encode()])[0].tolist() == ids_of(tokenizer, text)
 
 
+@pytest.mark.parametrize("bits", [0, 3, 10])
+def test_ids_dont_depend_on_hashes(tokenizer, monkeypatch, bits):
+    """Chunks that share a hash are told apart, also by what earlier batches left."""
+    weak = lambda *x: common.hashed_runs(*x) % np.uint64(1 << bits)
+    monkeypatch.setattr(token_ids, "hashed_runs", weak)
+    encoder, texts = token_ids.ChunkEncoder(open(VOCABULARY, encoding="utf-8").read()), random_texts(200, 6) + REGULAR
+    for at in range(0, len(texts), 9):
+        assert [x.tolist() for x in encoder([t.encode() for t in texts[at : at + 9]])] == [ids_of(tokenizer, t) for t in texts[at : at + 9]]
+
+
 def test_other_vocabularies_are_refused():
     with pytest.raises(ValueError):
         token_counts.MergeCounter(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
@@ -146,19 +182,36 @@ def test_outliers_are_exceptions():
     assert len(token_ids.encode_ids(values)) < 25_600 / 2
 
 
+def test_segments_read_by_their_index():
+    rng, ids = np.random.default_rng(2), []
+    for n in (1, 1, 300, 256, 70_000, 2):
+        ids.append(rng.integers(0, 50_000, n).astype(np.uint32))
+    segment = token_ids.Segment.of([5, None, -3, 0, 2**40, 7], ids)
+    at = np.cumsum([0, *map(len, ids)])
+    expected = [(name, int(start), len(x), zlib.crc32(x.astype("<u4").tobytes())) for name, start, x in zip([5, None, -3, 0, 2**40, 7], at, ids)]
+    assert list(segment.documents()) == list(segment.documents(window=1)) == expected
+    with pytest.raises(ValueError):
+        list(token_ids.Segment(b"nope").documents())
+
+
 def test_written_ids(spark, tokenizer, tmp_path):
-    docs = documents(spark, [*EDGES, (-7, "first"), (9, "<|endoftext|>")]).repartition(3)
-    rows = docs.select("doc_id", "text").collect()
-    order = sorted(((r.doc_id, r.text or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    found = token_ids.encode_documents(docs, VOCABULARY, str(tmp_path / "ids"), segment_tokens=1000).orderBy("start").collect()
-    at = 0
-    for r, (i, text) in zip(found, order, strict=True):
-        ids = [*ids_of(tokenizer, text), 0]
-        assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        at += len(ids)
-    segments = spark.read.parquet(str(tmp_path / "ids"))
-    assert segments.count() > 1 and segments.agg(F.sum(F.size("doc_ids"))).first()[0] == len(order)
+    rows = [*EDGES, (-7, "first"), (9, "<|endoftext|>"), *((None, f"none {i}") for i in range(30)), *((77, t) for t in REGULAR), *((78, "same") for _ in range(30))]
+    docs = documents(spark, rows).repartition(3)
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).collect()
+    order = sorted(((r.doc_id, r.hash, r.text or "") for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:]))
+    for more in ({"segment_tokens": 1000}, {}):
+        path = str(tmp_path / f"ids{len(more)}")
+        found = token_ids.encode_documents(docs, VOCABULARY, path, **more).orderBy("start").collect()
+        at = 0
+        for r, (i, _, text) in zip(found, order, strict=True):
+            ids = [*ids_of(tokenizer, text), 0]
+            assert tuple(r) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            at += len(ids)
+        segments = spark.read.parquet(path)
+        assert segments.count() > (1 if more else 0) and segments.agg(F.sum("n_ids")).first()[0] == at
     assert token_ids.encode_documents(docs.limit(0), VOCABULARY).count() == 0
+    with pytest.raises(ValueError, match="integer"):
+        token_ids.encode_documents(docs.withColumn("doc_id", F.lit("a")), VOCABULARY)
 
 
 # licences
