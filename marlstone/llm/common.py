@@ -79,12 +79,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> It
             yield part, [x or b"" for x in part.column(column).cast(pa.binary()).to_pylist()]
             start = stop
         del batch, part
-        _release()
+        release()
     gc.collect()
-    _release()
+    release()
 
 
-def _release() -> None:
+def release() -> None:
     """Gives freed memory back to the system, as a task's worker is kept for later tasks of any kind."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
