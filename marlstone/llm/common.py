@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,9 @@ def removed(spark: SparkSession, path: str) -> None:
 def freed(spark: SparkSession) -> None:
     """Lets Spark's cleaner see which shuffles and broadcasts nothing refers to any more, so that executors delete their files now and not at some later collection."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what ends with the first collection may be the last to hold a shuffle
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
