@@ -289,7 +289,9 @@ def long_contexts(n=60):
 
 
 @pytest.mark.parametrize("options", [{}, {"bundle_bytes": 200, "bucket_tokens": 300, "hot": 8}, {"hot": 1, "divergence": 2.0, "discount": 0.5}, {"least": 8, "patience": 0}])
-def test_scores_equal_brute_force(spark, options):
+def test_scores_equal_brute_force(spark, options, monkeypatch):
+    if "hot" in options:
+        monkeypatch.setattr(language_model, "MANY", 1000)
     rows, options = [*model_rows(), *long_contexts(), *((i + 2000, t, s) for i, t, s in model_rows(10))], language_model.TreeOptions(**options)
     found = language_model.score_documents(documents(spark, rows), options=options).collect()
     expected, (scores, tree) = base_scores(rows), brute_scores(rows, options)
