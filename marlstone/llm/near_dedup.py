@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHasher, mixed, removed, shared_folder, slices, table, written
+from .common import WordHasher, long_id, mixed, removed, shared_folder, slices, table, written
 
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+#: Nodes of a group that one task compares with each other, or with one center.
+BLOCK = 512
+#: Estimates lie below the similarity by at most this, but for one pair in ten thousand at 120 registers.
+MARGIN = 0.15
 #: Lists up to so many rows are broadcast to keep texts where they are; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -111,7 +115,7 @@ def _banded(bands: int):
 
 
 def _alike(m: int, least: float):
-    """Adds whether a pair's estimated similarity reaches least."""
+    """The pairs (center, node) whose estimated similarity reaches least."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = SetSketch(m)
@@ -120,11 +124,74 @@ def _alike(m: int, least: float):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, m) for c in ("ra", "rb"))
             estimate = sketcher.jaccard(a, b, *(batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb")))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(estimate >= least)], names=["a", "b", "alike"])
+            yield batch.select(["center", "node"]).filter(pa.array(estimate >= least))
 
     return judge
 
 
+def _met(m: int, bands: int, least: float):
+    """Rows of a band follow each other, those of one pair of blocks too: the pairs (center, node) of different components that meet there, in no earlier band, and whose estimated similarity reaches least."""
+
+    def pairs(rows: list[dict]) -> Iterator[tuple[str, str]]:
+        sketcher, rows = SetSketch(m), sorted(rows, key=lambda r: r["n"])
+        sizes, own = np.array([r["n"] for r in rows], np.float64), np.array([r["block"] for r in rows])
+        registers = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(len(rows), bands, -1)
+        parts = np.unique([r["component"] for r in rows], return_inverse=True)[1]
+        band, i, j = rows[0]["place"], rows[0]["i"], rows[0]["j"]
+        for a in range(len(rows) - 1):
+            end = np.searchsorted(sizes, sizes[a] / least, "right")  # similarity is at most the sizes' ratio
+            b = np.arange(a + 1, end)
+            b = b[(parts[b] != parts[a]) & ((own[b] != own[a]) if i != j else True)]
+            if len(b):
+                same = (registers[b] == registers[a]).all(2)
+                b = b[same[:, band] & ~same[:, :band].any(1)]
+            if len(b):
+                flat = registers.reshape(len(rows), -1)
+                estimate = sketcher.jaccard(np.broadcast_to(flat[a], (len(b), flat.shape[1])), flat[b], np.full(len(b), sizes[a]), sizes[b])
+                for x in b[estimate >= least].tolist():
+                    yield min(rows[a]["node"], rows[x]["node"]), max(rows[a]["node"], rows[x]["node"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out():
+            found = list(pairs(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["center", "node"])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["band"], row["i"], row["j"]) != key:
+                    if held:
+                        yield out()
+                    key, held = (row["band"], row["i"], row["j"]), []
+                held.append(row)
+        if held:
+            yield out()
+
+    return met
+
+
+def _confirmed(percent: int):
+    """Rows (center, block, first, node, elements) in this order, the center's own first: the links (a, b) of the center with nodes at or above the threshold, by exact intersections."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = [], []
+            for row in batch.to_pylist():
+                elements = np.frombuffer(row["elements"], np.uint64)
+                if row["first"] == 0:
+                    center, own = row["node"], elements
+                    continue
+                common = len(np.intersect1d(own, elements, assume_unique=True))
+                if row["center"] == center and 100 * common >= percent * (len(own) + len(elements) - common):
+                    a.append(center)
+                    b.append(row["node"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    return confirm
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, component) of all nodes of (a, b): the least node that can be reached.
 
@@ -157,114 +224,38 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return mapping
 
 
-def _links(words_percent: int):
-    """Compares all sets of a group (rows that follow each other with equal cluster, i, j) and gives links (a, b) that connect those at or above the threshold."""
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, np.ndarray]] = {}
-        key = None
-
-        def out():
-            names = sorted(held)
-            found = _connected([held[x][1] for x in names], np.array([held[x][0] for x in names]), key, words_percent)
-            return pa.RecordBatch.from_arrays([pa.array([names[a] for a, _ in found], pa.string()), pa.array([names[b] for _, b in found], pa.string())], names=["a", "b"])
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                if (row["cluster"], row["i"], row["j"]) != key:
-                    if held:
-                        yield out()
-                    key = (row["cluster"], row["i"], row["j"])
-                    held.clear()
-                held[row["node"]] = (row["block"], np.frombuffer(row["elements"], np.uint64))
-        if held:
-            yield out()
-
-    return confirmed
-
-
-def _connected(sets: list[np.ndarray], blocks: np.ndarray, key: tuple, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between sets of blocks key[1] and key[2], with exact intersections: rows of a 0/1 matrix over elements that two sets have, multiplied in slabs."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, element, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    inside = shared[element]
-    owner, element = owner[inside], number[element[inside]]
-    order = np.argsort(element, kind="stable")
-    owner, element = owner[order], element[order]
-    common = np.zeros((len(sets), len(sets)), np.float64)
-    slab = max(1, 4_000_000 // len(sets))
-    for at in range(0, int(shared.sum()), slab):
-        first, end = np.searchsorted(element, [at, at + slab])
-        matrix = np.zeros((len(sets), min(slab, int(shared.sum()) - at)), np.float32)
-        matrix[owner[first:end], element[first:end] - at] = 1
-        common += matrix @ matrix.T
-    union = sizes[:, None] + sizes[None] - common
-    linked = 100 * common >= percent * union
-    if key[1] != key[2]:
-        linked &= blocks[:, None] != blocks[None]
-    root = list(range(len(sets)))
-
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    forest = []
-    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1))), strict=True):
-        if (x := top(a)) != (y := top(b)):
-            root[max(x, y)] = min(x, y)
-            forest.append((a, b))
-    return forest
-
-
-def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row: the least id reachable by links, which join texts whose shingle sets have 100 * intersection >= percent * union.
 
-    Rows of equal sets are one node. Nodes that agree in all registers of one of the bands meet; a pair at the threshold misses all 24 with probability 3e-8. In each meeting all are tied to the node with most meetings, if the
-    likelihood estimate of their similarity isn't below 0.25, and those that are below to another of them, so ties make clusters that hold every pair that met in some way. Within a cluster all full sets are compared, dealt into
-    blocks of about `block` nodes, a task for each pair of blocks, so no group grows beyond a task's memory and none is sampled or cut. Only a forest of the links leaves a task.
-    Null, empty and blank texts have no shingles and are linked with nothing; a null id counts as greater than all others, and a component of null ids only has a null id; kept is id = component_id, for null ids too. Other columns are dropped.
+    Rows of equal sets are one node. Nodes that agree in all registers of one of the bands meet; a pair at the threshold misses all 30 with probability 1e-7. First each node of a meeting is compared with the one of most meetings there:
+    if the likelihood estimate of their similarity is within MARGIN of the threshold (a pair at the threshold falls below with probability 1e-4), on their full sets. That makes most links of a group in work that grows with its size. Then only
+    meetings whose nodes are still in different components are looked at again, pair by pair on registers, in blocks; pairs within a component can't change it. Only pairs that pass there are confirmed on full sets.
+    So no pair is listed but for estimates close to a link between components, a center's nodes are dealt to tasks by blocks of BLOCK, and no group is sampled or cut.
+    Null, empty and blank texts have no shingles and are linked with nothing; a null id counts as greater than all others, and a component of null ids only has a null id; kept is id = component_id, for null ids too.
+    Ids must be integers or null. Other columns are dropped. Words and shingles are told apart by 64 bits, sets by 128.
     """
-    out = _classes(docs, words, percent, bands, rows, block, id_col, text_col)
+    out = _classes(docs, words, percent, bands, rows, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, block: int = 512, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+def _classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30, rows: int = 4, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(id, n, node, component, component_id) of each row, with the extra columns (long): its set's name and the component's, both null without shingles, and the least id in the component."""
-    extra = extra or {}
+    extra, m, least = extra or {}, bands * rows, max(0.05, percent / 100 - MARGIN)
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"), *(c.alias(x) for x, c in extra.items()))
+    narrow = docs.select(long_id(docs, id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *(c.alias(x) for x, c in extra.items()))
     schema = ", ".join(["id long, n long, node string, registers binary", *(f"{x} long" for x in extra)])
     sketches = written(narrow.mapInArrow(_sketched(words, bands, rows, tuple(extra)), schema), f"{folder}/sketches")
     nodes = written(sketches.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("registers").alias("registers")), f"{folder}/nodes")
 
-    met = nodes.select("node", "registers").mapInArrow(_banded(bands), "node string, bands array<long>").select("node", F.explode("bands").alias("band"))
+    met = nodes.select("node", "registers").mapInArrow(_banded(bands), "node string, bands array<long>").select("node", F.posexplode("bands").alias("place", "band"))
     busy = met.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     met = written(met.join(busy, "band"), f"{folder}/met")
     degree = met.groupBy("node").agg(F.sum("size").alias("degree"))
-
-    def ties(meetings: DataFrame) -> DataFrame:
-        """(band, node, center): each node of a meeting with the one that has most meetings."""
-        centers = meetings.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("most")).select("band", F.col("most.node").alias("center"))
-        return meetings.join(centers, "band").where("node != center")
-
-    tied = written(ties(met.join(degree, "node")), f"{folder}/tied")
-    pairs = tied.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    one, two = (nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    judged = written(pairs.join(one, "a").join(two, "b").mapInArrow(_alike(bands * rows, 0.25), "a string, b string, alike boolean"), f"{folder}/judged")
-    apart = tied.join(judged.where("not alike").select(F.col("a").alias("node"), F.col("b").alias("center")), ["node", "center"]).select("band", "node", "degree")
-    edges = judged.where("alike").select("a", "b").union(ties(apart).select(F.col("node").alias("a"), F.col("center").alias("b")))
-
-    clusters = components(edges, f"{folder}/clusters").withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    clusters = written(clusters.join(sizes, "cluster").join(nodes.select("node", "rep"), "node"), f"{folder}/clustered")
-    wanted = clusters.select("rep").distinct()
-    few = clusters.count() <= BROADCAST_ROWS
-    texts = narrow.select("__id", "__text").join(F.broadcast(wanted) if few else wanted, F.col("__id").eqNullSafe(F.col("rep")), "left_semi")
+    ranked = met.join(degree, "node")
+    centers = ranked.groupBy("band").agg(F.max(F.struct("degree", "node")).alias("most")).select("band", F.col("most.node").alias("center"))
+    pairs = met.join(centers, "band").where("node != center").select("center", "node").distinct()
+    one, two = (nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r{y}"), F.col("n").alias(f"n{y}")) for x, y in (("center", "a"), ("node", "b")))
+    judged = written(pairs.join(one, "center").join(two, "node").mapInArrow(_alike(m, least), "center string, node string"), f"{folder}/judged")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
@@ -272,30 +263,51 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 24
             sets = shingles(part)
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
 
-    members = clusters.select("node", "cluster", "blocks")
-    sets = texts.mapInArrow(full, "node string, elements binary").join(F.broadcast(members) if few else members, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("block", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("node", "elements", "cluster", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    links = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(_links(percent), "a string, b string")
-    linked = components(links, f"{folder}/linked")
+    def links(pairs: DataFrame, path: str) -> DataFrame:
+        """The confirmed ones of the pairs (center, node); a center with many nodes is sent to each block of them."""
+        wanted = written(pairs.select(F.explode(F.array("center", "node")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), f"{path}/wanted")
+        few = wanted.count() <= BROADCAST_ROWS
+        reps = wanted.select("rep").distinct()
+        texts = narrow.select("__id", "__text").join(F.broadcast(reps) if few else reps, F.col("__id").eqNullSafe(F.col("rep")), "left_semi")
+        # rows of one id may have other sets too, and a set more than one row
+        sets = written(texts.mapInArrow(full, "node string, elements binary").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node").dropDuplicates(["node"]), f"{path}/sets")
+        counts = pairs.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        dealt = pairs.join(counts, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        heads = counts.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("center", "block", F.lit(0).alias("first"), F.col("center").alias("node"))
+        both = heads.union(dealt.select("center", "block", F.lit(1).alias("first"), "node")).join(sets, "node")
+        ordered = both.select("center", "block", "first", "node", "elements").repartition("center", "block").sortWithinPartitions("center", "block", "first")
+        return written(ordered.mapInArrow(_confirmed(percent), "a string, b string"), f"{path}/links")
+
+    first = links(judged, f"{folder}/first")
+    linked = components(first, f"{folder}/linked")
+    # meetings of which some nodes, the center apart, which all were compared with, are in different components
+    named = met.join(linked.withColumnRenamed("component", "own"), "node", "left").withColumn("component", F.coalesce("own", "node"))
+    apart = named.join(centers.withColumnRenamed("center", "node"), ["band", "node"], "left_anti").groupBy("band").agg(F.count("*").alias("others"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
+    again = named.join(apart.select("band", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")), "band").join(centers.withColumnRenamed("center", "node"), ["band", "node"], "left_anti").join(nodes.select("node", "n", "registers"), "node")
+    again = again.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    again = again.select("band", "place", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "n", "registers")
+    second = written(again.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_met(m, bands, least), "center string, node string"), f"{folder}/second")
+    if not second.isEmpty():
+        linked = components(first.union(links(second.distinct(), f"{folder}/third")), f"{folder}/relinked")
 
     named = nodes.select("node", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select("node", "component", "component_id")
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "component").select("node", "component", "component_id")
     return sketches.select("id", "n", "node", *extra).join(named, "node", "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")))
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, without the copies and near copies: of each component one row stays, that with the smallest id (null is greatest), and of several with that id the one whose text has the smallest hash.
+    """The documents, with all their columns whatever their names, without the copies and near copies: of each component one row stays, that with the smallest id (null is greatest), and of several with that id the one whose text has the smallest hash.
 
-    Rows are told apart by id and text, by 128 bits of both, so a row goes only if its own text is linked to the one that stays; of rows equal in both any one stays. Rows without shingles all stay.
+    Rows are told apart by id and text, by 128 bits of both, so a row goes only if its own text is linked to the one that stays; of rows equal in both any one stays. Rows without shingles all stay; an empty table stays empty. Ids must be integers or null.
     The rows that go, or those that repeat, are broadcast up to BROADCAST_ROWS of them, else joined by a shuffle.
     """
-    spark = docs.sparkSession
+    spark, plain = docs.sparkSession, docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    id_col, text_col = at[id_col], at[text_col]
     own = [F.col(id_col).cast("string"), F.col(text_col).cast("string")]
     names = {"__a": F.xxhash64(*own), "__b": F.xxhash64(F.lit(1), *own)}
-    found = _classes(docs, id_col=id_col, text_col=text_col, extra=names, **options).where("n > 0")
+    found = _classes(plain, id_col=id_col, text_col=text_col, extra=names, **options).where("n > 0")
     folder = shared_folder(spark)
     rows = written(found.groupBy("component", *names).agg(F.min("id").alias("id"), F.count("*").alias("rows")), f"{folder}/rows")
     staying = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", *names)).alias("least")).select("least.__a", "least.__b")
@@ -305,10 +317,10 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, list(names), how)
 
-    left = joined(docs.withColumns(names), gone, "left_anti")
+    left = joined(plain.withColumns(names), gone, "left_anti")
     if not again.isEmpty():
         left = joined(left, again, "left_anti").unionByName(joined(left, again, "left_semi").dropDuplicates(list(names)))
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return left.select(*(F.col(v).alias(k) for k, v in at.items()))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

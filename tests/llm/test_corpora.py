@@ -123,13 +123,57 @@ def copies(seed: int):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_classes_equal_brute_force(spark, seed):
+def test_classes_equal_brute_force(spark, seed, monkeypatch):
     rows = copies(seed)
-    found = near_dedup.near_classes(documents(spark, rows), words=4, block=7)
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    found = near_dedup.near_classes(documents(spark, rows), words=4)
     assert as_text(found) == oracle(near_dedup.OP4_SQL, rows)
+    monkeypatch.setattr(near_dedup, "BLOCK", 512)
     assert as_text(near_dedup.near_classes(documents(spark, rows[::-1]).repartition(5), words=4)) == as_text(found)
 
 
+def drifting(seed: int):
+    """Chains of texts, each a little different from the one before, and a frame that many texts share half of: links that no single center sees."""
+    r, words, rows = random.Random(seed), vocabulary(4000, seed), []
+    frame = r.choices(words, k=60)
+    for _ in range(12):
+        text = r.choices(words, k=100)
+        for _ in range(12):
+            text = text[:]
+            for _ in range(r.randint(1, 4)):
+                text[r.randrange(100)] = r.choice(words)
+            rows.append(" ".join(text))
+    rows += [" ".join(frame + r.choices(words, k=r.randint(5, 60))) for _ in range(80)]
+    r.shuffle(rows)
+    return [(i, t, "s") for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_recall_of_links_far_from_centers(spark, seed):
+    rows = drifting(seed)
+    found = {r.doc_id: r.component_id for r in near_dedup.near_classes(documents(spark, rows), words=4).collect()}
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) for _, t, _ in rows for w in [t.split()]]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    together = sum(found[a] == found[b] for a, b in links)
+    assert len(links) > 50 and together >= 0.99 * len(links)
+    assert not any(found[a] == found[b] for a in range(len(sets)) for b in range(a) if not sets[a] & sets[b])
+
+
+def test_regular_words_arent_near(spark):
+    word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word, "s"), (2, other, "s"), (3, f"one {word} two three four", "s"), (4, f"one {other} two three four", "s"), (5, word.upper(), "s")]
+    assert as_text(near_dedup.near_classes(documents(spark, rows), words=4)) == oracle(near_dedup.OP4_SQL, rows)
+    with pytest.raises(ValueError, match="integer"):
+        near_dedup.near_classes(documents(spark, rows).withColumn("doc_id", F.lit("x")))
+
+
+def test_clashing_columns_stay(spark):
+    docs = documents(spark, [(1, "a b c d e f", "s"), (2, "a b c d e f", "s")]).select("*", *(F.lit(i).alias(c) for i, c in enumerate(("__id", "__a", "__b", "component", "n", "__text"))))
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns and [(r.doc_id, r["__a"], r["__b"], r.component) for r in kept.collect()] == [(1, 1, 2, 3)]
+
+
 def test_near_copies_of_edges(spark, monkeypatch):
     docs = documents(spark, [(i, t, "s") for i, t in [*EDGES, (7, "no id"), (8, "z" * 5000)]])
     for most in (near_dedup.BROADCAST_ROWS, 0):  # joins by a shuffle as well
