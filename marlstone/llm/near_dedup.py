@@ -129,34 +129,41 @@ def _alike(m: int, least: float):
     return judge
 
 
-def _met(m: int, bands: int, least: float):
-    """Rows of a band follow each other, those of one pair of blocks too: the pairs (center, node) of different components that meet there, in no earlier band, and whose estimated similarity reaches least."""
+def _met(m: int, bands: int, least: float, percent: int):
+    """Rows of a band follow each other, those of one pair of blocks too: links (a, b) that join nodes of different components which meet there and in no earlier band.
 
-    def pairs(rows: list[dict]) -> Iterator[tuple[str, str]]:
-        sketcher, rows = SetSketch(m), sorted(rows, key=lambda r: r["n"])
+    Pairs whose estimated similarity reaches least are confirmed on their full sets, but for those that the links found here join already, so at most one link for each node leaves a task.
+    """
+
+    def links(rows: list[dict]) -> Iterator[tuple[str, str]]:
+        sketcher, rows = SetSketch(m), sorted(rows, key=lambda r: (r["n"], r["node"]))
         sizes, own = np.array([r["n"] for r in rows], np.float64), np.array([r["block"] for r in rows])
-        registers = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(len(rows), bands, -1)
-        parts = np.unique([r["component"] for r in rows], return_inverse=True)[1]
+        sets = [np.frombuffer(r["elements"], np.uint64) for r in rows]
+        flat = np.frombuffer(b"".join(r["registers"] for r in rows), np.uint16).reshape(len(rows), -1)
+        registers, parts = flat.reshape(len(rows), bands, -1), np.unique([r["component"] for r in rows], return_inverse=True)[1]
         band, i, j = rows[0]["place"], rows[0]["i"], rows[0]["j"]
         for a in range(len(rows) - 1):
-            end = np.searchsorted(sizes, sizes[a] / least, "right")  # similarity is at most the sizes' ratio
+            end = np.searchsorted(sizes, sizes[a] * 100 / percent + 1e-6, "right")  # similarity is at most the sizes' ratio
             b = np.arange(a + 1, end)
             b = b[(parts[b] != parts[a]) & ((own[b] != own[a]) if i != j else True)]
             if len(b):
                 same = (registers[b] == registers[a]).all(2)
                 b = b[same[:, band] & ~same[:, :band].any(1)]
             if len(b):
-                flat = registers.reshape(len(rows), -1)
-                estimate = sketcher.jaccard(np.broadcast_to(flat[a], (len(b), flat.shape[1])), flat[b], np.full(len(b), sizes[a]), sizes[b])
-                for x in b[estimate >= least].tolist():
-                    yield min(rows[a]["node"], rows[x]["node"]), max(rows[a]["node"], rows[x]["node"])
+                b = b[sketcher.jaccard(np.broadcast_to(flat[a], (len(b), m)), flat[b], np.full(len(b), sizes[a]), sizes[b]) >= least]
+            for x in b.tolist():
+                if parts[x] != parts[a]:
+                    common = len(np.intersect1d(sets[a], sets[x], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[a]) + len(sets[x]) - common):
+                        parts[parts == parts[x]] = parts[a]
+                        yield rows[a]["node"], rows[x]["node"]
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out():
-            found = list(pairs(held))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["center", "node"])
+            found = list(links(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -229,8 +236,8 @@ def near_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, bands: i
 
     Rows of equal sets are one node. Nodes that agree in all registers of one of the bands meet; a pair at the threshold misses all 30 with probability 1e-7. First each node of a meeting is compared with the one of most meetings there:
     if the likelihood estimate of their similarity is within MARGIN of the threshold (a pair at the threshold falls below with probability 1e-4), on their full sets. That makes most links of a group in work that grows with its size. Then only
-    meetings whose nodes are still in different components are looked at again, pair by pair on registers, in blocks; pairs within a component can't change it. Only pairs that pass there are confirmed on full sets.
-    So no pair is listed but for estimates close to a link between components, a center's nodes are dealt to tasks by blocks of BLOCK, and no group is sampled or cut.
+    meetings whose nodes are still in different components are looked at again, in blocks: there pairs of different components are estimated on registers and, if near, confirmed on full sets; pairs within a component can't change it.
+    No pairs are listed: a task gives a link for each node at most. A center's nodes are dealt to tasks by blocks of BLOCK, and no group is sampled or cut.
     Null, empty and blank texts have no shingles and are linked with nothing; a null id counts as greater than all others, and a component of null ids only has a null id; kept is id = component_id, for null ids too.
     Ids must be integers or null. Other columns are dropped. Words and shingles are told apart by 64 bits, sets by 128.
     """
@@ -263,32 +270,33 @@ def _classes(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 30
             sets = shingles(part)
             yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.string()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "elements"])
 
-    def links(pairs: DataFrame, path: str) -> DataFrame:
-        """The confirmed ones of the pairs (center, node); a center with many nodes is sent to each block of them."""
-        wanted = written(pairs.select(F.explode(F.array("center", "node")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), f"{path}/wanted")
+    def sets_of(wanted: DataFrame, path: str) -> DataFrame:
+        """(node, elements) of the nodes, each once: rows of one id may have other sets too, and a set more than one row."""
+        wanted = written(wanted.join(nodes.select("node", "rep"), "node"), f"{path}/wanted")
         few = wanted.count() <= BROADCAST_ROWS
         reps = wanted.select("rep").distinct()
         texts = narrow.select("__id", "__text").join(F.broadcast(reps) if few else reps, F.col("__id").eqNullSafe(F.col("rep")), "left_semi")
-        # rows of one id may have other sets too, and a set more than one row
-        sets = written(texts.mapInArrow(full, "node string, elements binary").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node").dropDuplicates(["node"]), f"{path}/sets")
-        counts = pairs.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        dealt = pairs.join(counts, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-        heads = counts.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("center", "block", F.lit(0).alias("first"), F.col("center").alias("node"))
-        both = heads.union(dealt.select("center", "block", F.lit(1).alias("first"), "node")).join(sets, "node")
-        ordered = both.select("center", "block", "first", "node", "elements").repartition("center", "block").sortWithinPartitions("center", "block", "first")
-        return written(ordered.mapInArrow(_confirmed(percent), "a string, b string"), f"{path}/links")
-
-    first = links(judged, f"{folder}/first")
+        return written(texts.mapInArrow(full, "node string, elements binary").join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node").dropDuplicates(["node"]), f"{path}/sets")
+
+    # each center's own set, and the nodes', once for each block of nodes
+    sets = sets_of(judged.select(F.explode(F.array("center", "node")).alias("node")).distinct(), f"{folder}/first")
+    counts = judged.groupBy("center").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = judged.join(counts, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    heads = counts.select("center", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("center", "block", F.lit(0).alias("first"), F.col("center").alias("node"))
+    both = heads.union(dealt.select("center", "block", F.lit(1).alias("first"), "node")).join(sets, "node")
+    ordered = both.select("center", "block", "first", "node", "elements").repartition("center", "block").sortWithinPartitions("center", "block", "first")
+    first = written(ordered.mapInArrow(_confirmed(percent), "a string, b string"), f"{folder}/links")
     linked = components(first, f"{folder}/linked")
     # meetings of which some nodes, the center apart, which all were compared with, are in different components
     named = met.join(linked.withColumnRenamed("component", "own"), "node", "left").withColumn("component", F.coalesce("own", "node"))
     apart = named.join(centers.withColumnRenamed("center", "node"), ["band", "node"], "left_anti").groupBy("band").agg(F.count("*").alias("others"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
     again = named.join(apart.select("band", F.ceil(F.col("others") / BLOCK).cast("int").alias("blocks")), "band").join(centers.withColumnRenamed("center", "node"), ["band", "node"], "left_anti").join(nodes.select("node", "n", "registers"), "node")
     again = again.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    again = again.select("band", "place", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "n", "registers")
-    second = written(again.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_met(m, bands, least), "center string, node string"), f"{folder}/second")
-    if not second.isEmpty():
-        linked = components(first.union(links(second.distinct(), f"{folder}/third")), f"{folder}/relinked")
+    again = written(again.select("band", "place", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "component", "n", "registers"), f"{folder}/again")
+    if not again.isEmpty():
+        whole = again.join(sets_of(again.select("node").distinct(), f"{folder}/second"), "node")
+        second = written(whole.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_met(m, bands, least, percent), "a string, b string"), f"{folder}/links-2")
+        linked = components(first.union(second), f"{folder}/relinked")
 
     named = nodes.select("node", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
