@@ -19,7 +19,7 @@ WORD = re.compile(r"[^\W_]+(?:[@$*][^\W_]+)*")
 # Words that report speech, and words that address someone.
 REPORTING = frozenset("said says say called calls wrote writes word words term quote quoted quotes insult insults slur slurs meaning reported phrase".split())
 ADDRESSING = frozenset("you your youre he she they are is such these those".split())
-LEAST_WEIGHT, MOST_EVIDENCE = 1.0, 24.0  # of a match that says something; of a text, beyond which more changes nothing
+LEAST_WEIGHT = 1.0  # of a match that says something
 STEMS = (4, 5, 6)  # lengths of beginnings that can stand for all their words
 OPENING, CLOSING = "\"“«„", "\"”»“"
 
@@ -178,7 +178,7 @@ class Scorer:
                 near = [w for w, _, _ in spans[max(0, i - self.WINDOW) : i + self.WINDOW + 1]]
                 before, after = text[spans[max(0, i - self.WINDOW)][1] : start], text[end : spans[min(len(spans) - 1, i + self.WINDOW)][2]]
                 best[word] = max(best.get(word, 0.0), weight * context(before, after, near))
-        return min(sum(best.values()), MOST_EVIDENCE)
+        return math.fsum(best.values())
 
 
 def context(before: str, after: str, near: list[str]) -> float:
@@ -231,7 +231,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flushed()
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 20_000, max_terms: int = 2_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """A model from the documents of at most max_rows labelled ids, of those where usable holds; labels of unknown documents, null ones and null ids teach nothing. Without labels all scores are 0.
 
     A word enters the lexicon if its share of toxic texts is beyond what chance gives any of the counted words. The beginning of at least five words enters as a stem if that holds for these words without the most toxic one; it then stands for them.
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, max_rows: int = 2
     stems = stems.withColumn("toxic", F.col("toxic") - F.col("most.toxic")).withColumn("clean", F.col("clean") - F.col("most.clean"))
     stems = stems.where(marked).select("text", "toxic", "clean", weight.alias("weight"), F.lit(True).alias("stem"), gain.alias("gain"))
     exact = words.where(marked).select(F.col("word").alias("text"), "toxic", "clean", weight.alias("weight"), F.lit(False).alias("stem"), gain.alias("gain"))
-    top = stems.union(exact).orderBy(F.desc("gain"), "text", "stem").limit(max_terms).collect()
+    top = stems.union(exact).collect()  # of the words of max_rows texts, those that chance does not explain
     kept = _apart({r.text: (r.toxic, r.clean, r.weight) for r in top if r.stem}, base, beyond)
     found = [*((s, w, True) for s, w in sorted(kept.items())), *((r.text, r.weight, False) for r in top if not r.stem and not any(r.text[:n] in kept for n in STEMS))]
     terms = [Term(text, min(w, 8.0), stem, 0.8 * min(w, 8.0)) for text, w, stem in found]
@@ -330,7 +330,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[float
 
 def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of each document; only its text counts. Null and empty texts have no evidence. Repeated rows and null ids are kept, other columns dropped; nothing is shuffled."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_terms terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # terms of at most max_rows texts
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, id_c
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that score below the threshold."""
+    """The documents, with all their columns, that score below the threshold. Null and empty texts have no evidence, long ones are read whole; repeated rows go or stay alike; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -220,15 +220,18 @@ def test_written_ids(spark, tokenizer, tmp_path):
 TEXTS = [
     (1, None), (2, ""), (3, "Licensed under the Apache License, Version 2.0."), (4, "Some text. released UNDER the mit license!\nMore"), (4, "Released under the MIT License"),
     (5, "\n".join(license_scans.SENTENCES[i - 1] + "." for i in (10, 11, 12))), (6, "This program is free software; " + license_scans.SENTENCES[19].replace(" GNU", "\nGNU") + ".\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY."),
-    (7, "Licensed under CC BY-NC 4.0. All rights reserved. Licensed under CC BY-NC 4.0."), (8, "Not licensed under the Apache License, Version 2.0"), (9, " ".join(license_scans.SENTENCES[i - 1] + ". Unknown words." for i in (13, 14, 15, 16))), (10, "x. " * 20_000), (None, "MIT License"),
+    (7, "Licensed under CC BY-NC 4.0. All rights reserved. Licensed under CC BY-NC 4.0."), (11, "Copyright (c) 2020, A. Author.\nAll rights reserved.\n\n" + " ".join(license_scans.SENTENCES[i - 1] + "." for i in (13, 14, 15, 16))), (12, "A. All rights reserved."),
+    (13, "This library is free software; " + license_scans.SENTENCES[31] + "."), (14, "This program is free software: " + license_scans.SENTENCES[32] + "."), (15, license_scans.SENTENCES[33] + "/"), (16, license_scans.SENTENCES[34] + "."), (17, "This is free and unencumbered software released into the public domain."),
+    (18, "\n".join([license_scans.SENTENCES[12], "a", "b", "c", license_scans.SENTENCES[13], "1.", license_scans.SENTENCES[14]])), (19, "\n".join([license_scans.SENTENCES[12], "a", "b", "c", "d", license_scans.SENTENCES[13], license_scans.SENTENCES[14]])), (8, "Not licensed under the Apache License, Version 2.0"), (9, " ".join(license_scans.SENTENCES[i - 1] + ". Unknown words." for i in (13, 14, 15, 16))), (10, "x. " * 20_000), (None, "MIT License"),
 ]
 
 
 def test_licences(spark):
     found = {(r.doc_id, r.licenses, r.kind) for r in license_scans.scan(documents(spark, TEXTS)).collect()}
     assert found == {
-        (1, "", "none"), (2, "", "none"), (3, "Apache-2.0", "permissive"), (4, "MIT", "permissive"), (5, "MIT", "permissive"), (6, "GPL-3.0", "copyleft"), (7, "CC-BY-NC-4.0,reserved", "restricted"), (8, "", "none"),
-        (9, "BSD-3-Clause", "permissive"), (10, "", "none"), (None, "MIT", "permissive"),
+        (1, "", "none"), (2, "", "none"), (3, "Apache-2.0", "permissive"), (4, "MIT", "permissive"), (5, "MIT", "permissive"), (6, "GPL-3.0", "copyleft"), (7, "CC-BY-NC-4.0", "restricted"), (8, "", "none"),
+        (11, "BSD-3-Clause", "permissive"), (12, "reserved", "restricted"), (13, "LGPL-2.1", "copyleft"), (14, "AGPL-3.0", "copyleft"), (15, "EPL-2.0", "copyleft"), (16, "CC0-1.0", "permissive"), (17, "Unlicense", "permissive"),
+        (18, "BSD-2-Clause", "permissive"), (19, "", "none"), (9, "BSD-3-Clause", "permissive"), (10, "", "none"), (None, "MIT", "permissive"),
     }
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
