@@ -84,9 +84,13 @@ def with_copies(rows: DataFrame, *, conflicting: bool = False) -> DataFrame:
     return rows.unionByName(copies)
 
 
-def active(rows: DataFrame) -> DataFrame:
-    """Events of weeks in which their user is active, so that cohorts differ."""
-    return rows.where("week >= user_id % 5 and (user_id + week) % 3 <> 0")
+#: Whose event it is where users come and go: their own in weeks in which they are active, in others that of somebody seen in that week only.
+PASSER_BY = "CASE WHEN week >= user_id % 5 AND (user_id + week) % 3 <> 0 THEN actor_id ELSE actor_id + 1000000 * (week + 1) END"
+
+
+def coming_and_going(rows: DataFrame) -> DataFrame:
+    """All events, by actors of whom cohorts differ."""
+    return rows.withColumn("actor_id", E(PASSER_BY).cast("bigint"))
 
 
 def covered_dates(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from marlstone.plans.catalog import ROW_GROUP, explained
 #: Two variants, a and b, after one warm-up of each.
 ORDER = "abbaab"
 JOIN_NODES = {"merge": "SortMergeJoin", "broadcast": "BroadcastHashJoin", "shuffle_hash": "ShuffledHashJoin"}
-#: Dimension rows, and bytes of them as JSON, that may be sent to every executor.
+# Dimension rows, and bytes of them as JSON, that may be sent to every executor.
 SMALL_ROWS, SMALL_BYTES = 50_000, 8 << 20
 
 
@@ -34,15 +34,15 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def is_small(dimension: DataFrame) -> bool:
-    """Whether a dimension may be broadcast: at most one row over the limit is looked at."""
-    rows = dimension.limit(SMALL_ROWS + 1).collect()
-    return 0 < len(rows) <= SMALL_ROWS and sum(len(json.dumps(r.asDict(), default=str)) for r in rows) <= SMALL_BYTES
+    """Whether a dimension may be broadcast, by one row of sums over at most one row beyond the limit. Ask it of a written table: the plan runs once for it."""
+    rows, size = dimension.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return 0 < rows <= SMALL_ROWS and size <= SMALL_BYTES
 
 
 def joined(facts: DataFrame, dimension: DataFrame, strategy: str, key: str = "repo_sk") -> DataFrame:
-    """Owners' events by a join that is planned as merge, broadcast or shuffle_hash. Only small dimensions may be broadcast; others are merged."""
+    """Owners' events by a join that is planned as merge, broadcast or shuffle_hash. Only small dimensions may be broadcast; for others that is an error, as another join would run under its name."""
     if strategy == "broadcast" and not is_small(dimension):
-        strategy = "merge"
+        raise ValueError("the dimension is too large to be broadcast")
     d = dimension.select(key, "owner_name").hint(strategy)
     return facts.join(d, key).groupBy("owner_name").agg(F.count("*").alias("events"), F.sum(F.col("repo_id").cast("decimal(38,0)")).alias("repo_sum"))
 

@@ -12,6 +12,7 @@ from marlstone.functions.fields import hash_sample as sampled
 from marlstone.operators import dedup, facts, ingest, reconcile, retention, rollups, scd2
 from marlstone.plans import adapter, layouts
 from marlstone.plans.scratch import scratch
+from marlstone.sources import lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,15 +207,51 @@ def asof_enriched(spark: SparkSession, folder: str) -> DataFrame:
     return _enriched(spark, folder).select("event_id", "event_time", "repo_id", "repo_sk")
 
 
-@query(with_events(OBSERVED, VERSIONS, ENRICHED, select="SELECT (SELECT count(*) FROM en WHERE repo_sk IS NULL) + (SELECT count(*) FROM ev) - (SELECT count(*) FROM en) AS broken_links, CAST(0 AS BIGINT) AS broken_versions, CAST(0 AS BIGINT) AS not_one_current"))
-def scd2_integrity(spark: SparkSession, folder: str) -> DataFrame:
-    dimension = _dimension(spark, folder)
-    counts = [(scd2.broken_links(_enriched(spark, folder), dimension), "broken_links"), (scd2.broken_versions(dimension), "broken_versions"), (scd2.not_one_current(dimension), "not_one_current")]
+INTEGRITY = """SELECT (SELECT count(*) FROM en LEFT JOIN dim d USING (repo_sk) WHERE d.repo_sk IS NULL OR en.repo_id <> d.repo_id OR en.repo_name <> d.repo_name OR en.event_time < d.valid_from OR en.event_time >= d.valid_to) AS broken_links,
+ (SELECT count(*) FROM (SELECT *, lead(valid_from) OVER (PARTITION BY repo_id ORDER BY valid_from) AS following FROM dim) WHERE valid_to IS DISTINCT FROM following OR valid_to <= valid_from OR is_current <> (valid_to IS NULL)) AS broken_versions,
+ (SELECT count(*) FROM (SELECT repo_id FROM dim GROUP BY repo_id HAVING count(*) FILTER (WHERE is_current) <> 1)) AS not_one_current"""
+
+
+def _integrity(enriched: DataFrame, dimension: DataFrame) -> DataFrame:
+    counts = [(scd2.broken_links(enriched, dimension), "broken_links"), (scd2.broken_versions(dimension), "broken_versions"), (scd2.not_one_current(dimension), "not_one_current")]
     rows = [df.select(F.lit(name).alias("name")) for df, name in counts]
     found = rows[0].union(rows[1]).union(rows[2])
     return found.agg(*(F.count_if(F.col("name") == name).alias(name) for _, name in counts))
 
 
+@query(with_events(OBSERVED, VERSIONS, ENRICHED, select=INTEGRITY))
+def scd2_integrity(spark: SparkSession, folder: str) -> DataFrame:
+    return _integrity(_enriched(spark, folder), _dimension(spark, folder))
+
+
+#: The same checks over versions with known errors: late ends, lost versions, versions that are current beside the last one.
+WRONG = """wrong AS (SELECT * REPLACE (CASE WHEN repo_id % 5 = 0 THEN valid_to + INTERVAL 1 HOUR ELSE valid_to END AS valid_to, is_current OR (repo_id % 7 = 0 AND hour(valid_from) % 2 = 0) AS is_current)
+ FROM dim WHERE NOT (repo_id % 11 = 0 AND day(valid_from) % 2 = 0))"""
+
+
+@query(with_events(OBSERVED, VERSIONS, ENRICHED, WRONG, select=INTEGRITY.replace("FROM dim", "FROM wrong").replace("JOIN dim", "JOIN wrong")))
+def scd2_integrity_of_errors(spark: SparkSession, folder: str) -> DataFrame:
+    late = F.when(F.col("repo_id") % 5 == 0, F.col("valid_to") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("valid_to"))
+    wrong = _dimension(spark, folder).where("not (repo_id % 11 = 0 and day(valid_from) % 2 = 0)")
+    wrong = wrong.withColumns({"valid_to": late, "is_current": F.col("is_current") | ((F.col("repo_id") % 7 == 0) & (F.hour("valid_from") % 2 == 0))})
+    return _integrity(_enriched(spark, folder), wrong)
+
+
+@query(with_events(select="SELECT source_file, line_number, CAST(row_number() OVER (PARTITION BY source_file ORDER BY line_number) AS BIGINT) AS place FROM (SELECT 'log/' || source_date || '-' || source_hour AS source_file, line_number FROM ev)"))
+def lines_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of lines within their files."""
+    rows = adapter.raw_lines(spark, folder).select("source_file", F.col("line_number").alias("n"))
+    return lines.numbered(rows, "n").select("source_file", F.col("n").alias("line_number"), F.col("line_number").alias("place"))
+
+
+@query(with_events(select="SELECT line_number, 'log/' || f.source_date || '-' || f.source_hour AS source_file, f.source_hour, f.source_date FROM ev JOIN (SELECT DISTINCT source_date, source_hour FROM ev) f USING (source_date, source_hour)"))
+def lines_with_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines with what their files' manifests say."""
+    rows = adapter.raw_lines(spark, folder)
+    manifests = rows.select("source_file", "source_date", "source_hour", "source_sha256").distinct()
+    return lines.with_manifest(rows.select("line_number", "source_file"), manifests).select("line_number", "source_file", "source_hour", "source_date")
+
+
 OWNERS = """ow AS (SELECT event_date, split_part(repo_name, '/', 1) AS owner_name, 'observed_owner_prefix' AS owner_classification, count(*) AS event_count, count(DISTINCT repo_id) AS repository_count, count(DISTINCT actor_id) AS active_actor_count,
  count(*) FILTER (WHERE actor_id IS NULL) AS missing_actor_events, count(*) FILTER (WHERE event_type = 'PushEvent') AS push_events, CAST(sum(CASE WHEN event_type = 'PushEvent' THEN TRY_CAST(json_extract_string(payload_json, '$.size') AS BIGINT) END) AS BIGINT) AS declared_commit_count,
  count(*) FILTER (WHERE event_type = 'PushEvent' AND json_extract_string(payload_json, '$.size') IS NULL) AS missing_declared_commit_events, 'COMPLETE' AS coverage FROM ev GROUP BY 1, 2)"""
@@ -225,24 +262,28 @@ def owner_daily(spark: SparkSession, folder: str) -> DataFrame:
     return rollups.owner_daily(adapter.events(spark, folder))
 
 
-WEEKLY = """av AS (SELECT * FROM ev WHERE week >= user_id % 5 AND (user_id + week) % 3 <> 0), cov AS (SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(*) AS covered_days FROM (SELECT DISTINCT event_date AS d FROM ev) GROUP BY 1),
-ac AS (SELECT CAST(date_trunc('week', event_time) AS DATE) AS week_start, actor_id, count(*) AS event_count, count(DISTINCT event_date) AS active_days, count(DISTINCT repo_id) AS repository_count FROM av WHERE actor_id IS NOT NULL GROUP BY 1, 2),
+WEEKLY = """cov AS (SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(*) AS covered_days FROM (SELECT DISTINCT event_date AS d FROM ev) GROUP BY 1),
+ac AS (SELECT CAST(date_trunc('week', event_time) AS DATE) AS week_start, actor_id, count(*) AS event_count, count(DISTINCT event_date) AS active_days, count(DISTINCT repo_id) AS repository_count FROM av
+ WHERE actor_id IS NOT NULL GROUP BY 1, 2),
 wk AS (SELECT ac.*, covered_days, CASE WHEN covered_days = 7 THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM ac JOIN cov USING (week_start))"""
 
 
-def _weekly(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = adapter.events(spark, folder)
+ALL_EVENTS, VARIED = "av AS (SELECT * FROM ev)", f"av AS (SELECT * REPLACE (CAST({adapter.PASSER_BY} AS BIGINT) AS actor_id) FROM ev)"
+
+
+def _weekly(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     covered = adapter.covered_dates(rows)
-    return rollups.contributor_weekly(adapter.active(rows), covered), covered
+    return rollups.contributor_weekly(rows, covered), covered
 
 
-@query(with_events(WEEKLY, select="SELECT * FROM wk"))
+@query(with_events(ALL_EVENTS, WEEKLY, select="SELECT * FROM wk"))
 def contributor_weekly(spark: SparkSession, folder: str) -> DataFrame:
-    return _weekly(spark, folder)[0]
+    return _weekly(adapter.events(spark, folder))[0]
 
 
 @query(
     with_events(
+        VARIED,
         WEEKLY,
         "fs AS (SELECT actor_id, min(week_start) AS cohort_week FROM wk GROUP BY actor_id)",
         "co AS (SELECT cohort_week, count(*) AS cohort_size, count(b.actor_id) AS returned FROM fs LEFT JOIN (SELECT actor_id, week_start FROM wk) b ON b.actor_id = fs.actor_id AND b.week_start = fs.cohort_week + 7 GROUP BY cohort_week)",
@@ -253,7 +294,7 @@ def contributor_weekly(spark: SparkSession, folder: str) -> DataFrame:
     )
 )
 def contributor_retention(spark: SparkSession, folder: str) -> DataFrame:
-    return retention.retention(*_weekly(spark, folder))
+    return retention.retention(*_weekly(adapter.coming_and_going(adapter.events(spark, folder))))
 
 
 def _day_tables(spark: SparkSession, folder: str) -> reconcile.DayTables:
@@ -316,10 +357,10 @@ def owner_check(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.owner_differences(rows, rollups.owner_daily(rows).withColumn("event_count", F.col("event_count") + F.when(F.col("owner_name") == "o5", 1).otherwise(0)))
 
 
-@query(with_events(WEEKLY, select="SELECT week_start, actor_id, event_count, active_days, repository_count, 1::BIGINT AS surplus FROM wk WHERE actor_id % 9 = 0"))
+@query(with_events(ALL_EVENTS, WEEKLY, select="SELECT week_start, actor_id, event_count, active_days, repository_count, 1::BIGINT AS surplus FROM wk WHERE actor_id % 9 = 0"))
 def weekly_check(spark: SparkSession, folder: str) -> DataFrame:
-    weekly, _ = _weekly(spark, folder)
-    return reconcile.weekly_differences(adapter.active(adapter.events(spark, folder)), weekly.where("actor_id % 9 <> 0"))
+    rows = adapter.events(spark, folder)
+    return reconcile.weekly_differences(rows, _weekly(rows)[0].where("actor_id % 9 <> 0"))
 
 
 TOTALS = "SELECT event_type, count(*) AS events, CAST(sum(repo_id) AS BIGINT) AS repo_sum, count(actor_id) AS known_actor_events FROM ev"
@@ -337,7 +378,10 @@ def type_totals_one_day(spark: SparkSession, folder: str) -> DataFrame:
 
 def _join_query(strategy: str) -> None:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return layouts.joined(_enriched(spark, folder), _dimension(spark, folder), strategy)
+        path = scratch(spark)
+        _dimension(spark, folder).write.parquet(path)  # planned and run once, then measured, joined as of a time, and joined by key
+        dimension = spark.read.parquet(path)
+        return layouts.joined(scd2.as_of(adapter.events(spark, folder), dimension), dimension, strategy)
 
     QUERIES[f"join_{strategy}"] = lambda spark, folder: plain(run(spark, folder))
     ORACLE_SQL[f"join_{strategy}"] = with_events(OBSERVED, VERSIONS, ENRICHED, select="SELECT dim.owner_name, count(*) AS events, CAST(sum(en.repo_id) AS BIGINT) AS repo_sum FROM en JOIN dim USING (repo_sk) GROUP BY dim.owner_name")
