@@ -430,3 +430,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert tokens == mix and set(mix) <= set(clean) and max(Counter(mix).values()) <= 3
     final = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
     assert sorted(x.doc_id for x in final) == mix and all(a.start + a.n_tokens == b.start for a, b in pairwise(final))
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    texts = [None, "", "a b c d e f g", "a b c d e f g", "you fool " * 3000, *(f"word {i} of a text that is like no other {i * i}" for i in range(20))]
+    tables = {
+        "documents": spark.createDataFrame([(i if i else None, t, "en", None if i % 3 else "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(i, 1, int(i == 4)) for i in range(1, 25)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, "nobody wrote this")], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        (df.limit(0) if name == empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).orderBy("start").collect()
+    assert not rows if empty == "documents" else len(rows) > 10 and all(a.start + a.n_tokens == b.start for a, b in pairwise(rows))
