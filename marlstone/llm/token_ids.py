@@ -141,7 +141,8 @@ class ChunkEncoder:
     Chunks are looked up by their 64-bit hashes and then compared byte by byte; a text with a chunk that only shares another one's hash is encoded whole, as are texts with special strings. So the ids are always the library's.
     """
 
-    CHUNKS, RECENT = 1_000_000, 100_000  # remembered, and of these kept apart until they are merged into the sorted rest
+    CHUNKS, RECENT = 500_000, 50_000  # remembered, and of these kept apart until they are merged into the sorted rest
+    ASKED = 10_000  # of the library at once, as its answers take much memory
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -154,8 +155,7 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        nothing = np.zeros(0, np.int64)
-        self.known = self.recent = (nothing.view(np.uint64), *[nothing] * 4)  # ascending hashes; place and number of their ids, place and number of their bytes
+        self.known = self.recent = (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 4)  # ascending hashes; place and number of their ids, place and number of their bytes
         self.ids, self.bytes = _Store(np.uint32), _Store(np.uint8)
 
     def _find(self, where: tuple, hashes: np.ndarray) -> np.ndarray:
@@ -163,11 +163,12 @@ class ChunkEncoder:
         return np.where(where[0][at] == hashes, at, -1) if len(where[0]) else np.full(len(hashes), -1)
 
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        found = [array("I", e.ids) for e in self.encode([c.decode() for c in chunks])]
+        found = [array("I", e.ids) for at in range(0, len(chunks), self.ASKED) for e in self.encode([c.decode() for c in chunks[at : at + self.ASKED]])]
         counts, sizes = np.array([len(f) for f in found], np.int64), np.array([len(c) for c in chunks], np.int64)
         place = self.ids.add(np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32))
         bytes_place = self.bytes.add(np.frombuffer(b"".join(chunks), np.uint8))
-        self.recent = self._merged(self.recent, (hashes, place + np.cumsum(counts) - counts, counts, bytes_place + np.cumsum(sizes) - sizes, sizes))
+        new = (place + np.cumsum(counts) - counts, counts, bytes_place + np.cumsum(sizes) - sizes, sizes)
+        self.recent = self._merged(self.recent, (hashes, *(x.astype(np.int32) for x in new)))
         if len(self.recent[0]) > self.RECENT:
             self.known, self.recent = self._merged(self.known, self.recent), tuple(x[:0] for x in self.recent)
 
@@ -178,7 +179,7 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """For each text its ids."""
-        if len(self.known[0]) > self.CHUNKS:
+        if len(self.known[0]) > self.CHUNKS or max(self.ids.used, self.bytes.used) > 1 << 28:
             self.forget()
         alone = np.array([any(s in t for s in self.specials) for t in texts], bool)
         buffer, starts, lengths, hashes, first = self.hasher([b"" if s else t for t, s in zip(texts, alone.tolist(), strict=True)])
