@@ -377,6 +377,19 @@ def test_rows_travel_whole():
     assert all((found[k] == v).all() and found[k].dtype == v.dtype and len(found[k]) == len(v) for k, v in arrays.items())
 
 
+@pytest.mark.parametrize("width", [1, 20, 50, 63, 64])
+@pytest.mark.parametrize("n", [0, 1, 2, 1000, 100_000])
+def test_keys_in_order(n, width):
+    rng = np.random.default_rng(width)
+    keys = rng.integers(0, (1 << width) - 1, n, dtype=np.uint64, endpoint=True)
+    if width == 64:  # every other key agrees with many others in its high bits
+        keys[::2] = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 50, len(keys[::2]), dtype=np.uint64)
+    order, ordered = language_model.ascending(keys)
+    assert np.array_equal(ordered, np.sort(keys)) and np.array_equal(keys[order], ordered) and len(set(order.tolist())) == n
+    different, example, which = language_model.grouped(keys)
+    assert np.array_equal(different, np.unique(keys)) and np.array_equal(different[which], keys) and np.array_equal(keys[example], different)
+
+
 def test_regular_words_are_known_apart(spark):
     """A word and its complement in the Thue-Morse order, of which only one is in the training texts."""
     word = "".join("ab"[i.bit_count() % 2] for i in range(1024))
