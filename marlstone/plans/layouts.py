@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators.reconcile import multiset_diff
 from marlstone.plans.catalog import ROW_GROUP, explained
+from marlstone.plans.metrics import measured
 
 #: Two variants, a and b, after one warm-up of each.
 ORDER = "abbaab"
@@ -55,8 +56,10 @@ def digest(rows: list) -> str:
 
 def measure(make: Callable[[], DataFrame]) -> dict:
     df, start = make(), time.perf_counter()
-    rows = df.collect()
-    return {"seconds": time.perf_counter() - start, "rows": len(rows), "sha256": digest(rows), "plan": explained(df)}
+    with measured(df.sparkSession) as cost:
+        rows = df.collect()
+        seconds = time.perf_counter() - start
+    return {"seconds": seconds, "cost": cost, "rows": len(rows), "sha256": digest(rows), "plan": explained(df)}
 
 
 def compare(a: Callable[[], DataFrame], b: Callable[[], DataFrame], *, equal: bool = True, nodes: tuple[str, str] | None = None) -> dict:

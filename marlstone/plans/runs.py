@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import dedup, facts, ingest, reconcile, retention, rollups, scd2
 from marlstone.plans.catalog import ROW_GROUP, partition_columns, write_table
-from marlstone.release import Lease, Publisher, ReleaseError, Run, code_digest, complete_week, run_identity
+from marlstone.plans.metrics import job_group, of_group
+from marlstone.release import Lease, Publisher, ReleaseError, Run, Watchdog, code_digest, complete_week, run_identity
 from marlstone.sources.acquire import input_identity, require_hours
 from marlstone.sources.lines import MANIFEST, read_lines, with_manifest
 from marlstone.sources.tables import calendar, union_tables
@@ -51,10 +53,11 @@ def read_stored(spark: SparkSession, folder: str, name: str, about: dict) -> Dat
     return spark.read.schema(StructType.fromJson(about["schema"])).parquet(f"{folder}/{name}")
 
 
-def run_day(spark: SparkSession, root: str | Path, date: str, sources: list[dict], *, run_id: str, hours: Iterable[int] = range(24)) -> dict:
+def run_day(spark: SparkSession, root: str | Path, date: str, sources: list[dict], *, run_id: str, hours: Iterable[int] = range(24), force: bool = False, reserve_bytes: int = 0, fail_after: str | None = None, usage=shutil.disk_usage) -> dict:
     """Publishes a day from manifests with the path of each file, or returns the publication that is there if inputs and code are the same.
 
     Stages are kept under run_id and not run again after they passed. The first gate that fails ends the run; then nothing is published.
+    force: builds and publishes again what is there. reserve_bytes: free space without which no stage starts, and below which a running one is cancelled. fail_after: a stage after which the run fails once, to try recovery.
     """
     publisher, run, hours = Publisher(root), Run(root, run_id), sorted(hours)
     coverage = require_hours(sources, date, hours)
@@ -63,7 +66,7 @@ def run_day(spark: SparkSession, root: str | Path, date: str, sources: list[dict
         return run_identity(engine_digest(), map(input_identity, sources))
 
     made_of = identity()
-    if publisher.is_noop(date, made_of):
+    if not force and publisher.is_noop(date, made_of):
         return publisher.current(date)
     lease = Lease(Path(root) / "leases", date)
     lease.take(run_id)
@@ -72,8 +75,15 @@ def run_day(spark: SparkSession, root: str | Path, date: str, sources: list[dict
         staged = Staged(spark, context["staging"])
 
         def stage(name: str, work) -> None:
-            report = run.stage(date, name, lambda: {"gates": work().results, "tables": staged.tables})
+            def watched() -> dict:
+                with job_group(spark, f"{date}-{run_id}-{name}") as group, Watchdog(root, reserve_bytes, lambda: spark.sparkContext.cancelJobGroup(group), usage=usage):
+                    gates = work().results
+                return {"gates": gates, "tables": staged.tables, "cost": of_group(spark, group)}
+
+            report = run.stage(date, name, watched, reserve_bytes=reserve_bytes, usage=usage)
             staged.tables |= report["result"]["tables"]
+            if fail_after == name:
+                run.fail_once(f"{date}-{name}")
 
         stage("ods", lambda: _ods(staged, sources, run_id))
         stage("dwd", lambda: _dwd(staged))

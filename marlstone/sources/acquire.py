@@ -114,10 +114,11 @@ def check_object(path: Path, manifest: dict, **limits) -> None:
         raise SourceError("object_changed")
 
 
-def acquire(root: str | Path, date: str, hour: int, *, compressed_limit: int = 256 << 20, expanded_limit: int = 4 << 30, reserve: int = 1 << 30, run_id: str = "", opener: Callable = _open) -> dict:
+def acquire(root: str | Path, date: str, hour: int, *, compressed_limit: int = 256 << 20, expanded_limit: int = 4 << 30, reserve: int = 1 << 30, run_id: str = "", opener: Callable = _open, allow: Callable[[int], object] | None = None) -> dict:
     """Fetches an hour once into objects/<identity>/ and returns its manifest; a good copy that is there is used as it is.
 
     The announced size is within the limit and is what arrives; redirects are refused; room is left on the disk; the object appears by a rename when it is complete and checked.
+    allow() is told the bytes before they are asked for, and may raise.
     """
     url, root = source_url(date, hour), Path(root)
     if existing := find_object(root, date, hour):
@@ -132,6 +133,8 @@ def acquire(root: str | Path, date: str, hour: int, *, compressed_limit: int = 2
     root.mkdir(parents=True, exist_ok=True)
     if shutil.disk_usage(root).free < announced + reserve:
         raise SourceError("no_room")
+    if allow:
+        allow(announced)
     part = root / "partial" / uuid.uuid4().hex
     part.mkdir(parents=True)
     try:

@@ -6,7 +6,7 @@ import pytest
 
 from marlstone.operators.reconcile import GateError
 from marlstone.operators.scd2 import ConflictError
-from marlstone.plans import runs
+from marlstone.plans import coordinator, runs
 from marlstone.release import Publisher, ReleaseError, dates_between
 from marlstone.sources.acquire import source_url
 
@@ -87,6 +87,12 @@ def test_model_of_a_week(spark, week):
         runs.run_model(spark, week, "2024-01-01", "2024-01-06", run_id="m3")
 
 
+def test_a_model_is_verified_with_its_days(spark, week):
+    runs.run_model(spark, week, "2024-01-01", "2024-01-07", run_id="m1")
+    found = coordinator.verify(week, spark)
+    assert len(found) == 8 and not any(found.values())
+
+
 def test_simultaneous_names_block_a_model(spark, week, tmp_path, monkeypatch):
     spoil = runs.scd2.observations
     monkeypatch.setattr(runs.scd2, "observations", lambda events: spoil(events).union(spoil(events).limit(1).withColumn("repo_name", runs.F.lit("x/y"))))
