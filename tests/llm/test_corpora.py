@@ -364,6 +364,44 @@ def test_longer_contexts_tell_more(spark):
     assert found[probes[0]] > found[probes[1]] + 2
 
 
+@pytest.mark.parametrize("many", [1, 1 << 22])
+def test_hot_contexts_stay_with_the_tasks(spark, many, monkeypatch):
+    """The driver sends nothing to the tasks and gets no table, however many contexts are hot; the scores are those without hot contexts."""
+    rows = [*model_rows(), *long_contexts()]
+    options = language_model.TreeOptions(bundle_bytes=500, bucket_tokens=300)
+    expected = {r.doc_id: r.score for r in language_model.score_documents(documents(spark, rows), options=options).collect()}
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a table reached the driver")
+
+    monkeypatch.setattr(language_model, "MANY", many)
+    for kind, name in ((type(spark.range(0)), "toPandas"), (type(spark.range(0)), "toArrow"), (type(spark.sparkContext), "broadcast")):
+        monkeypatch.setattr(kind, name, refused)
+    found = language_model.score_documents(documents(spark, rows), options=language_model.TreeOptions(bundle_bytes=500, bucket_tokens=300, hot=1))
+    found = {r.doc_id: r.score for r in found.collect()}
+    assert found.keys() == expected.keys() and all(math.isclose(found[i], expected[i], rel_tol=1e-6) for i in expected)
+
+
+def test_rare_words_before_a_frequent_one_are_not_hot():
+    """Runs of two words, of which the last is frequent and the first occurs once, aren't frequent; the words before the last are closed early, as are those after them."""
+    n, hot, options = 500, 64, language_model.TreeOptions()
+    tokens = np.array([t for i in range(n) for t in (i + 3, 1, 2, 0)], np.uint32)  # a rare word, a frequent pair, the end
+    counts = np.bincount(tokens, minlength=n + 3).astype(np.uint64)
+    state = {"tokens": tokens, "lengths": np.full(n, 4), "held": np.zeros(n, bool), "words": np.arange(n + 3, dtype=np.uint64), "counts": counts, "end": np.array([0], np.uint64)}
+    bundle = language_model.Bundle(state, len(tokens), n + 3, options.least)
+    wanted = []
+    for level in (1, 2, 3):
+        asked, which, _, hot_ones = bundle.asked(level, 4, hot)
+        _, of = np.unique(asked["context"], return_inverse=True)
+        total = np.bincount(of, asked["n"].astype(np.float64))[of]
+        wanted.append(len(hot_ones))
+        open_ = {(int(tokens[i - level]), int(tokens[i])) for i in bundle.open if i % 4 >= level}
+        assert level == 1 or not any(first > 2 for first, _ in open_)
+        bundle.answered(which, asked["n"], total, np.full(len(total), 0.5), np.ones(len(total), bool), options)
+        bundle.keep(level + 1, options.least)
+    assert wanted[0] == 3 and all(x <= len(tokens) / hot and x <= 3 for x in wanted)
+
+
 def test_wrong_options_are_refused(spark):
     for wrong in ({"least": 0}, {"discount": 1.0}, {"divergence": -1.0}, {"bundle_bytes": 0}):
         with pytest.raises(ValueError, match="impossible"):
