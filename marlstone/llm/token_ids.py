@@ -138,11 +138,12 @@ class _Store:
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each chunk that isn't remembered.
 
+    New chunks that begin with a space or line feed before a visible character are asked many in one text, as the library's pieces part there whatever comes before; its answer is dealt back by the tokens' lengths in bytes. Where these don't end with each chunk, and for other chunks, each is asked alone.
     Chunks are looked up by their 64-bit hashes and then compared byte by byte; a text with a chunk that only shares another one's hash is encoded whole, as are texts with special strings. So the ids are always the library's.
     """
 
-    CHUNKS, RECENT = 500_000, 50_000  # remembered, and of these kept apart until they are merged into the sorted rest
-    ASKED = 10_000  # of the library at once, as its answers take much memory
+    CHUNKS, RECENT = 1_000_000, 100_000  # remembered, and of these kept apart until they are merged into the sorted rest
+    ASKED, JOINED = 10_000, 100  # of the library at once, as its answers take much memory, and of these in one text
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -151,7 +152,11 @@ class ChunkEncoder:
         tokenizer = Tokenizer.from_str(vocabulary)
         self.encode = functools.partial(tokenizer.encode_batch_fast, add_special_tokens=False)
         self.specials = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        named = tokenizer.get_vocab()
+        self.sizes = np.zeros(1 + max(named.values(), default=0), np.int64)  # bytes of each token: a byte-level vocabulary spells each as one character
+        self.sizes[list(named.values())] = [len(token) for token in named]
         self.hasher = ChunkHasher()
+        self.visible = self.hasher.visible.tolist()
         self.forget()
 
     def forget(self) -> None:
@@ -162,10 +167,33 @@ class ChunkEncoder:
         at = np.minimum(np.searchsorted(where[0], hashes), max(0, len(where[0]) - 1))
         return np.where(where[0][at] == hashes, at, -1) if len(where[0]) else np.full(len(hashes), -1)
 
+    def _asked(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(array("I", e.ids), np.uint32) for e in self.encode([t.decode() for t in texts])]
+
+    def _separate(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks one after the other, and how many each has."""
+        found = self._asked(chunks)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(f) for f in found], np.int64)
+
+    def _together(self, chunks: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As _separate, of chunks whose pieces part from those before."""
+        texts = [b"".join(chunks[at : at + self.JOINED]) for at in range(0, len(chunks), self.JOINED)]
+        ids = np.concatenate([np.zeros(0, np.uint32), *self._asked(texts)])
+        ends, stops = np.cumsum(self.sizes[ids]), np.cumsum(sizes)
+        last = np.searchsorted(ends, stops)
+        if any(s in t for t in texts for s in self.specials) or not len(ids) or ends[-1] != stops[-1] or (ends[last] != stops).any():
+            return self._separate(chunks)
+        return ids, np.diff(last, prepend=-1)
+
     def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
-        found = [array("I", e.ids) for at in range(0, len(chunks), self.ASKED) for e in self.encode([c.decode() for c in chunks[at : at + self.ASKED]])]
-        counts, sizes = np.array([len(f) for f in found], np.int64), np.array([len(c) for c in chunks], np.int64)
-        place = self.ids.add(np.frombuffer(b"".join(f.tobytes() for f in found), np.uint32))
+        sizes = np.array([len(c) for c in chunks], np.int64)
+        joins = np.array([len(c) > 1 and c[0] in b" \n" and self.visible[c[1]] for c in chunks], bool)
+        order = np.argsort(~joins, kind="stable")
+        hashes, sizes, chunks, joined = hashes[order], sizes[order], [chunks[i] for i in order.tolist()], int(joins.sum())
+        found = [self._together(chunks[at : (stop := min(at + self.ASKED, joined))], sizes[at:stop]) for at in range(0, joined, self.ASKED)]
+        found += [self._separate(chunks[at : at + self.ASKED]) for at in range(joined, len(chunks), self.ASKED)]
+        ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+        place = self.ids.add(ids)
         bytes_place = self.bytes.add(np.frombuffer(b"".join(chunks), np.uint8))
         new = (place + np.cumsum(counts) - counts, counts, bytes_place + np.cumsum(sizes) - sizes, sizes)
         self.recent = self._merged(self.recent, (hashes, *(x.astype(np.int32) for x in new)))

@@ -163,6 +163,23 @@ def test_encoder_is_the_library(tokenizer):
     assert encoder([]) == []
 
 
+def test_new_chunks_are_asked_together(tokenizer, monkeypatch):
+    """The library is asked for few texts, whose ids are dealt back to the chunks; ids that don't part with the chunks are asked for again, each chunk alone."""
+    words = [f"{a}{b}{end}" for a in "stem wort \u00e9t\u00e9 \u4e2d\u6587 \u0301x 12".split() for b in map(str, range(40)) for end in ("", " ", "\n", "  \n", "\t", "\u3000", "'s", "'", "\u00a0 ")]
+    texts = [" ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    expected = [ids_of(tokenizer, t) for t in texts]
+    for joined, wrong in ((100, False), (7, False), (100, True)):
+        monkeypatch.setattr(token_ids.ChunkEncoder, "JOINED", joined)
+        encoder, asked = token_ids.ChunkEncoder(open(VOCABULARY, encoding="utf-8").read()), []
+        library = encoder.encode
+        encoder.encode = lambda given: asked.extend(given) or library(given)  # noqa: B023
+        if wrong:
+            encoder.sizes[:] = 2
+        assert [x.tolist() for x in encoder([t.encode() for t in texts])] == expected
+        known = len(encoder.known[0]) + len(encoder.recent[0])
+        assert known > 1000 and (len(asked) > known if wrong else len(asked) < known / 2)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 255, 256, 257, 5000])
 def test_token_files_round_trip(n):
     rng = np.random.default_rng(n)
