@@ -9,6 +9,7 @@ from itertools import pairwise
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -415,6 +416,32 @@ def test_rows_travel_whole():
     assert all((found[k] == v).all() and found[k].dtype == v.dtype and len(found[k]) == len(v) for k, v in arrays.items())
 
 
+@pytest.mark.parametrize("most", [0, 255, 256, 70_000, 1 << 24, (1 << 32) - 1, 1 << 32, (1 << 64) - 1])
+def test_rows_hold_the_bytes_that_numbers_reach(most):
+    """Bytes above the greatest number are neither cut out of it nor compressed, and come back as zeros."""
+    numbers = np.linspace(0, most, 5000).astype(np.uint64) if most < 1 << 63 else np.random.default_rng(1).integers(0, most, 5000, np.uint64, endpoint=True)
+    numbers[7] = most
+    reach = max(1, -(-most.bit_length() // 8))
+    for kind in ("<u1", "<u2", "<u4", "<u8"):
+        if most < 1 << 8 * np.dtype(kind).itemsize:
+            data = language_model.pack(x=numbers.astype(kind), none=np.zeros(0, kind), signed=np.array([-1]))
+            found = language_model.unpack(data)
+            assert np.array_equal(found["x"], numbers) and found["x"].dtype == np.dtype(kind) and found["none"].dtype == np.dtype(kind) and found["signed"].tolist() == [-1]
+            assert int.from_bytes(data[:8], "little") < 5000 * reach + 500
+
+
+def test_the_tree_begins_at_its_first_level():
+    """Numbering the words takes no probabilities: those are of the next level."""
+    vocabulary = np.sort(np.array([3, 9, language_model.END], np.uint64))
+    state = language_model.pack(vocabulary=vocabulary, tokens=np.array([0, 1, 2], np.uint32), lengths=np.array([3]), held=np.array([False]), n=np.ones(3, np.uint32))
+    answer = language_model.pack(n=np.ones(3, np.uint64), number=np.arange(3, dtype=np.uint64))
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 5]), pa.array([[7], None]), pa.array([state, None], pa.binary()), pa.array([-1, 0], pa.int32()), pa.array([None, answer], pa.binary())], names=["bundle", "ids", "state", "part", "answer"])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_model, "Bundle", None)
+        (found,) = language_model._taking(0, 1, 3, 3, language_model.TreeOptions())(iter([rows]))
+    assert (found.column("ids").to_pylist(), found.column("tokens").to_pylist(), found.column("going").to_pylist()) == ([[7]], [3], [True])
+
+
 @pytest.mark.parametrize("width", [1, 20, 50, 63, 64])
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 100_000])
 def test_keys_in_order(n, width):
